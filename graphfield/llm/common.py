@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +44,8 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage and survives lost executors."""
     path = shared(df.sparkSession)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind it
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

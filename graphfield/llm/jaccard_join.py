@@ -14,9 +14,10 @@ having the same, does as well (the last cut keeps them).
 Signatures with two sets or more are buckets.  A round checks each member of a
 bucket against one pivot of it, on the whole texts, and then a bucket whose members
 are all in one component needs no more; in the others the pivot, checked against
-all, leaves the bucket and another round follows.  When few pairs of different
-components are left, those are checked at once.  So work grows with the members,
-not with their squares, and no link that joins two components is missed.
+all, leaves the bucket and another round follows.  When the pairs left in all buckets
+are no more than a few times the members there were at first, those of different
+components are checked at once.  So each step is linear in the members, and no link
+that joins two components is missed.
 
 Words are runs of other than ASCII white space, with A-Z in lower case.  A text of
 fewer words than a shingle is one shingle; an empty or null one has none and links
@@ -179,7 +180,7 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     each = sets.where("size(signatures) > 0").join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("signatures").alias("signature"))
     shared = stored(each.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
     members = stored(each.join(shared, "signature").select("signature", "doc_id", F.col("low").alias("pivot")))
-    found = None
+    found, most = None, SLACK * members.count()
     while True:
         pairs = stored(members.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct())
         new = checked(pairs, docs, k, percent)
@@ -194,7 +195,7 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
         if not size[0]:
             break
         members = stored(rest.join(split.select("signature", "pivot"), "signature"))
-        if size[2] <= SLACK * size[1]:
+        if size[2] <= most:
             a, b = (members.select("signature", F.col("doc_id").alias(x), F.col("component").alias("c" + x)) for x in "ab")
             pairs = stored(a.join(b, "signature").where("a < b and ca <> cb").select("a", "b").distinct())
             found = stored(found.union(checked(pairs, docs, k, percent)).distinct())

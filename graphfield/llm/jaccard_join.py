@@ -11,13 +11,17 @@ share one.  A signature without elements would be shared by strangers; a set tha
 has one leaves it out and adds the signatures of another cut, which the partner,
 having the same, does as well (the last cut keeps them).
 
-Signatures with two sets or more are buckets.  A round checks each member of a
-bucket against one pivot of it, on the whole texts, and then a bucket whose members
-are all in one component needs no more; in the others the pivot, checked against
-all, leaves the bucket and another round follows.  When the pairs left in all buckets
-are no more than a few times the members there were at first, those of different
-components are checked at once.  So each step is linear in the members, and no link
-that joins two components is missed.
+Signatures with two sets or more are buckets.  The member that most buckets share is
+a bucket's pivot, and each member is checked against it.  Two members x and y of which
+not both link with pivot c can only link if x and y differ from c in common elements:
+of the differences x ^ c and y ^ c, at least (|x ^ c| + |y ^ c| - q (|x| + |y|)) / 2,
+with q = (100 - percent) / (100 + percent).  So, as in a prefix filter, some element
+is among the first few of both differences, those that c lacks coming first; such
+elements are the next buckets.  These are small, and are checked pair by pair if the
+pairs are at most a few times their members, or after ``ROUNDS`` rounds; else they
+get pivots in turn.  Work
+grows with the members of buckets, not with their squares, and no link that joins two
+components is missed.
 
 Words are runs of other than ASCII white space, with A-Z in lower case.  A text of
 fewer words than a shingle is one shingle; an empty or null one has none and links
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Ids, discard, mixed, per_batch, ready, stored, text_bytes, windows
 
 SHINGLE, PERCENT = 3, 90
-CUTS, WIDE, SLACK = 4, 1.37, 4
+CUTS, WIDE, SLACK, ROUNDS = 4, 1.37, 4, 3
 
 
 def shingles(text: bytes | None, ids: Ids, k: int = SHINGLE) -> np.ndarray:
@@ -126,29 +130,67 @@ def described(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Data
     return per_batch(docs.select(F.col("doc_id").cast("long"), text_bytes()), "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>", make)
 
 
-def checked(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link, judged on their whole texts."""
+def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the texts s and t."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
     some = stored(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    both = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+    return pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+
+
+class _Sets(dict):
+    """The sets of the documents of one batch."""
+
+    def __init__(self, ids: Ids, k: int):
+        self.ids, self.k = ids, k
+
+    def of(self, doc: int, text: bytes) -> np.ndarray:
+        if doc not in self:
+            self[doc] = shingles(text, self.ids, self.k)
+        return self[doc]
+
+
+def checked(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that link, judged on their whole texts."""
 
     def make():
         ids = Ids()
 
         def step(rows):
-            kept: dict[int, np.ndarray] = {}  # of one batch
+            sets = _Sets(ids, k)
+            good = [linked(sets.of(a, s), sets.of(b, t), percent) for a, b, s, t in zip(rows["a"], rows["b"], rows["s"], rows["t"], strict=True)]
+            return {x: [v for v, g in zip(rows[x], good, strict=True) if g] for x in ("a", "b")}
 
-            def of(doc, text):
-                if doc not in kept:
-                    kept[doc] = shingles(text, ids, k)
-                return kept[doc]
+        return step
 
-            good = [linked(of(a, s), of(b, t), percent) for a, b, s, t in zip(rows["a"], rows["b"], rows["s"], rows["t"], strict=True)]
-            return {x: [v for v, g in zip(rows[x], good, strict=True) if g] for x in ("a", "b")}
+    return per_batch(with_texts(pairs, docs), "a long, b long", make)
+
+
+def against_pivots(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """For pairs (member a, pivot b): whether they link, and the next buckets, for pairs with a member that doesn't and for pairs of two such."""
+
+    def make():
+        ids = Ids()
+
+        def step(rows):
+            sets, out = _Sets(ids, k), {x: [] for x in ("a", "b", "linked", "near", "far")}
+            for a, b, s, t in zip(rows["a"], rows["b"], rows["s"], rows["t"], strict=True):
+                x, c = sets.of(a, s), sets.of(b, t)
+                own, lost = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+                apart, n = np.concatenate([np.sort(mixed(own)), np.sort(mixed(lost))]), len(own) + len(lost)
+                link = linked(x, c, percent)
+                # more than half of this many in common, if the partner doesn't link with the pivot
+                half = max(1, (n * (100 + percent) + (100 - percent) * (len(c) - len(x))) // (2 * (100 + percent)) + 1)
+                least = max(1, -((len(x) * (100 - percent) - n * percent) // percent))
+                name = lambda kind, size, b=b, apart=apart: mixed(apart[: max(0, size)] ^ mixed(np.array([b], np.int64).view(np.uint64) * np.uint64(2) + np.uint64(kind))).view(np.int64)
+                near = name(0, n - half + 1 if link else n - least + 1)
+                far = name(1, 0 if link else n - half + 1)
+                for key, v in zip(out, (a, b, link, near, far), strict=True):
+                    out[key].append(v)
+            return out
 
         return step
 
-    return per_batch(both.select("a", "b", "s", "t"), "a long, b long", make)
+    return per_batch(with_texts(pairs, docs), "a long, b long, linked boolean, near array<long>, far array<long>", make)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,30 +220,34 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     classes = stored(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")))
     firsts = classes.where("first is not null").select(F.col("first").alias("doc_id")).distinct()
     each = sets.where("size(signatures) > 0").join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("signatures").alias("signature"))
-    shared = stored(each.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
-    members = stored(each.join(shared, "signature").select("signature", "doc_id", F.col("low").alias("pivot")))
-    found, most = None, SLACK * members.count()
+    shared = stored(each.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("signature"))
+    # of: 0 for members that link with the last pivot, 1 for others; a bucket with both has no pairs but of the two kinds
+    members = stored(each.join(shared, "signature").select("signature", "doc_id", F.lit(1).alias("of"), F.lit(True).alias("all")))
+    found, rounds = None, ROUNDS
     while True:
-        pairs = stored(members.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct())
-        new = checked(pairs, docs, k, percent)
-        found = stored(new if found is None else found.union(new).distinct())
+        size = stored(members.groupBy("signature").agg(F.count("*").alias("n")))
+        weight = members.join(size, "signature").groupBy("doc_id").agg(F.sum("n").alias("weight"))
+        pivots = stored(members.join(weight, "doc_id").groupBy("signature").agg(F.max_by("doc_id", F.struct("weight", "doc_id")).alias("pivot")))
+        pairs = stored(members.join(pivots, "signature").where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
+        seen = stored(against_pivots(pairs, docs, k, percent))
+        new = seen.where("linked").select("a", "b")
+        found = stored(new if found is None else found.union(new))
         label = components(found)
-        # pivots have been checked against all others; only buckets with members of several components go on
-        rest = members.where("doc_id <> pivot").join(label, members.doc_id == label.node, "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        rest = stored(rest)
-        split = rest.groupBy("signature").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("pivot"), F.count("*").alias("n")).where("c < d")
-        split = stored(split)
-        size = split.agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        if not size[0]:
+        rows = seen.select(F.col("a").alias("doc_id"), (~F.col("linked")).cast("int").alias("of"), F.explode("near").alias("signature"), F.lit(False).alias("all")).unionByName(seen.where("not linked").select(F.col("a").alias("doc_id"), F.lit(1).alias("of"), F.explode("far").alias("signature"), F.lit(True).alias("all")))
+        counts = rows.groupBy("signature").agg(F.count("*").alias("n"), F.sum("of").alias("n1"), F.first("all").alias("all"))
+        counts = stored(counts.where("n > 1 and (all or (n1 > 0 and n1 < n))"))
+        total, size = counts.agg(F.sum(F.when(F.col("all"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n1") * (F.col("n") - F.col("n1")))), F.sum("n")).first()
+        if not total:
             break
-        members = stored(rest.join(split.select("signature", "pivot"), "signature"))
-        if size[2] <= most:
-            a, b = (members.select("signature", F.col("doc_id").alias(x), F.col("component").alias("c" + x)) for x in "ab")
-            pairs = stored(a.join(b, "signature").where("a < b and ca <> cb").select("a", "b").distinct())
-            found = stored(found.union(checked(pairs, docs, k, percent)).distinct())
+        rounds -= 1
+        members = stored(rows.join(counts.select("signature"), "signature").distinct())
+        if total <= SLACK * size or not rounds:
+            named = members.join(label, members.doc_id == label.node, "left").select("signature", "doc_id", "of", "all", F.coalesce("component", "doc_id").alias("component"))
+            a, b = (named.select("signature", F.col("doc_id").alias(x), F.col("of").alias("of" + x), F.col("all").alias("all" + x), F.col("component").alias("c" + x)) for x in "ab")
+            pairs = stored(a.join(b, "signature").where("a < b and ca <> cb and (alla or ofa <> ofb)").select("a", "b").distinct())
+            found = stored(found.union(checked(pairs, docs, k, percent)))
             label = components(found)
             break
-        members = members.drop("component")
     out = sets.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     return out.join(label, out["first"] == label.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first")).alias("component_id"))
 

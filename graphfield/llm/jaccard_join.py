@@ -7,9 +7,11 @@ may link lie in one band or in two that adjoin, where their difference is at mos
 of ``n2`` smaller ones, with n1 * 2 above that bound: in some part the two sets differ
 in one element at most, so they agree on all its smaller parts but one.  For each
 part a signature is made of every choice of n2 - 1 smaller parts, so sets that link
-share one.  A signature without elements would be shared by strangers; a set that
-has one leaves it out and adds the signatures of another cut, which the partner,
-having the same, does as well (the last cut keeps them).
+share one.  A signature without elements would be shared by strangers, and is left
+out.  n1 is a little larger than it must be, so that d differences leave n1 - d // 2
+parts with one at most: if fewer parts of a set have an empty choice, it shares a
+signature with elements all the same.  Otherwise it adds those of another cut; a pair
+of which neither is safe in a cut has the next one in common (the last keeps all).
 
 Signatures with two sets or more are buckets.  The member that most buckets share is
 a bucket's pivot, and each member is checked against it.  Two members x and y of which
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Ids, discard, mixed, per_batch, ready, stored, text_bytes, windows
 
 SHINGLE, PERCENT = 3, 90
-CUTS, WIDE, SLACK, ROUNDS = 4, 1.37, 4, 3
+CUTS, SPARE, WIDE, SLACK, ROUNDS = 4, 12, 1.37, 4, 3
 
 
 def shingles(text: bytes | None, ids: Ids, k: int = SHINGLE) -> np.ndarray:
@@ -60,27 +62,28 @@ class Bands:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * max(WIDE, 101 / self.percent)) + 1))
         return int(np.searchsorted(self.edges, size, "right")) - 1
 
-    def groups(self, size: int) -> list[tuple[int, int]]:
-        """(band, differences) of the set's own band, and of the one below if a partner can lie there.
+    def groups(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, differences of its pairs, differences of this set's pairs) for the set's own band, and the one below if a partner can lie there.
 
         With a the smaller set, at most the band's last size, and a union of at most
-        a * 100 / percent, the difference is at most a * (100 - percent) / percent
-        (for equal sizes it is less).
+        a * 100 / percent, the difference is at most a * (100 - percent) / percent.
+        For sizes a and b it is at most (a + b) * (100 - percent) / (100 + percent).
         """
-        own = self.band(size)
-        out = [own]
+        own, largest = self.band(size), size * 100 // self.percent
+        out = [(own, largest)]
         if own and (self.edges[own] - 1) * 100 >= self.percent * size:
-            out.append(own - 1)
-        return [(b, (self.edges[b + 1] - 1) * (100 - self.percent) // self.percent) for b in out]
+            out.append((own - 1, self.edges[own] - 1))
+        bounds = [(b, (self.edges[b + 1] - 1) * (100 - self.percent) // self.percent, (size + other) * (100 - self.percent) // (100 + self.percent)) for b, other in out]
+        return [(b, k, min(k, d)) for b, k, d in bounds]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         if not len(s):
             return s
         out = []
-        for band, k in self.groups(len(s)):
+        for band, k, d in self.groups(len(s)):
             if not k:  # only equal sets link
                 continue
-            n1, n2 = k // 2 + 1, 3 if k <= 15 else 2
+            n1, n2 = k // 2 + 1 + k // SPARE, 3 if k <= 15 else 2
             for cut in range(CUTS):
                 x = mixed(s ^ np.uint64(0xA24BAED4963EE407 * (cut + 1) & (1 << 64) - 1))
                 part = ((x >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
@@ -93,10 +96,12 @@ class Bands:
                 place = np.arange(n1 * n2, dtype=np.uint64) + np.uint64((band * CUTS + cut) << 40)
                 value = mixed(value ^ mixed(place * np.uint64(2) + np.uint64(1)) ^ size.astype(np.uint64))
                 empty = size == 0
-                if not empty.any() or cut == CUTS - 1:
+                if cut == CUTS - 1:
                     out.append(value)
                     break
                 out.append(value[~empty])
+                if np.count_nonzero(empty.reshape(n1, n2).any(1)) < n1 - d // 2:
+                    break
         return np.concatenate(out) if out else s[:0]
 
 
@@ -219,10 +224,13 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     sets = stored(described(docs, k, percent))
     classes = stored(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")))
     firsts = classes.where("first is not null").select(F.col("first").alias("doc_id")).distinct()
-    each = sets.where("size(signatures) > 0").join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("signatures").alias("signature"))
-    shared = stored(each.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("signature"))
+    each = stored(sets.where("size(signatures) > 0").join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("signatures").alias("signature")))
+    lean = stored(sets.drop("signatures"))
+    shared = stored(each.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"))
     # of: 0 for members that link with the last pivot, 1 for others; a bucket with both has no pairs but of the two kinds
     members = stored(each.join(shared, "signature").select("signature", "doc_id", F.lit(1).alias("of"), F.lit(True).alias("all")))
+    discard(each, shared, sets)
+    sets = lean
     found, rounds = None, ROUNDS
     while True:
         size = stored(members.groupBy("signature").agg(F.count("*").alias("n")))
@@ -240,7 +248,9 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
         if not total:
             break
         rounds -= 1
+        discard(members)
         members = stored(rows.join(counts.select("signature"), "signature").distinct())
+        discard(seen)
         if total <= SLACK * size or not rounds:
             named = members.join(label, members.doc_id == label.node, "left").select("signature", "doc_id", "of", "all", F.coalesce("component", "doc_id").alias("component"))
             a, b = (named.select("signature", F.col("doc_id").alias(x), F.col("of").alias("of" + x), F.col("all").alias("all" + x), F.col("component").alias("c" + x)) for x in "ab")

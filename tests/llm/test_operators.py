@@ -304,3 +304,17 @@ def test_quality(docs, empty):
     table, prior = quality_model.fit_labellers(Counter({good: 90, bad: 10}))
     p = quality_model.posterior(np.array([good, bad]), table, prior)
     assert p[0] > 0.9 and p[1] < 0.1 and 0.8 < prior < 0.95
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_signature(percent):
+    rng, bands = np.random.default_rng(3), jaccard_join.Bands(percent)
+    for _ in range(1500):
+        n = int(np.exp(rng.uniform(np.log(3), np.log(700))))
+        pool = np.unique(rng.integers(1, 2**63, 3 * n).astype(np.uint64))
+        pool = pool[rng.permutation(len(pool))]
+        both = n - int(rng.integers(0, n * (100 - percent) // 100 + 1))
+        more = int(rng.integers(0, max(1, both * 100 // percent - n + 1)))
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + more]]))
+        if jaccard_join.linked(a, b, percent) and not np.array_equal(a, b):
+            assert len(np.intersect1d(bands.signatures(a), bands.signatures(b)))

@@ -255,7 +255,21 @@ add("singular_value", lambda s, d: one(s, value=precision.leading_singular_value
 add("forest_logdet", lambda s, d: (lambda x: one(s, logdet=schur.Factor(precision.core("variance_stable", x, 0.6)).logdet / len(x.f)))(problem(s, d, "co").arrays), base("co") + "SELECT round(((SELECT count(*) FROM fn) + (SELECT count(*) FROM wn) - count(*)) * ln(1 - 0.36) / count(*), 6) AS logdet FROM e")
 
 
-# Graphs: suppliers and orders of every 40th order.
+# Graphs: suppliers and orders of the whole lineitem (no SQL: recursion is too slow), and of every 200th order, for SQL.
+
+
+def _lines(s, d):
+    return s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").cast("long").alias("f"), F.col("l_orderkey").cast("long").alias("w")).distinct()
+
+
+def _whole(s, d):
+    return graph.adjacency(_lines(s, d))
+
+
+add("components_whole", lambda s, d: graph.components(_whole(s, d)).select(F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component")))
+add("circuit_rank_whole", lambda s, d: (lambda r: one(s, rank=int(r), forest=r == 0))(graph.circuit_rank(_whole(s, d))))
+add("two_core_whole", lambda s, d: graph.two_core(_whole(s, d)).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
+add("distance_to_core_whole", lambda s, d: (lambda a: graph.distance_to_core(a, graph.two_core(a)).select(F.col("node").cast("long").alias("node"), F.col("distance").cast("long").alias("distance")))(_whole(s, d)))
 
 
 def _os(s, d, step=40):
@@ -273,8 +287,7 @@ add("distance_to_core", lambda s, d: (lambda a: graph.distance_to_core(a, graph.
 
 
 def _nb(s, d):
-    e = s.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 200 = 0").select(F.col("l_suppkey").cast("long").alias("f"), F.col("l_orderkey").cast("long").alias("w")).distinct()
-    x = graph.nb_spectrum(e)
+    x = graph.nb_spectrum(_lines(s, d))
     return one(s, radius=float(x.radius), binding=int(x.binding), circuit_rank=int(x.circuit_rank), ceiling=graph.ceiling(x.radius), recommended=graph.guarded_limit(x.radius))
 
 

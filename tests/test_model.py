@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from graphfield import graph
+from graphfield import catalog, graph
 from graphfield.decompose import posterior_covariance, posterior_decomposition, posterior_mode, prior_covariance, prior_decomposition
 from graphfield.fit import fit, solve
 from graphfield.precision import Theta, coordinates, core, leading_singular_value, posterior_matrix, prior_matrix, product
@@ -168,6 +168,43 @@ def test_graphs(spark):
         graph.nb_spectrum(odd, nev=0)
 
 
+def test_whole_graph_queries(spark, tmp_path):
+    """Every order counts, whatever its id: cycles, a tail longer than SQL's rounds, and a tree, against brute force."""
+    pairs = [(f, w) for f in range(1, 4) for w in (1, 7, 203)] + [(3 + k, 300 + k) for k in range(5)] + [(4 + k, 300 + k) for k in range(5)] + [(50, 401), (51, 401), (50, 403)]
+    spark.createDataFrame([*pairs, pairs[0]], "l_suppkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {name: catalog.QUERIES[name](spark, str(tmp_path)).collect() for name in ("components_whole", "circuit_rank_whole", "two_core_whole", "distance_to_core_whole", "nb_spectrum")}
+    edges = {(2 * f, 2 * w + 1) for f, w in pairs}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def reach(start, graph):
+        steps, front = dict.fromkeys(start, 0), list(start)
+        for n in front:
+            for m in graph.get(n, ()):
+                if m not in steps:
+                    steps[m] = steps[n] + 1
+                    front.append(m)
+        return steps
+
+    label = {n: min(reach([n], near)) for n in near}
+    assert {r["node"]: r["component"] for r in got["components_whole"]} == label
+    rank = len(edges) - len(near) + len(set(label.values()))
+    assert got["circuit_rank_whole"][0].asDict() == {"rank": rank, "forest": False}
+    core = {n: set(m) for n, m in near.items()}
+    while thin := [n for n in core if len(core[n]) < 2]:
+        for n in thin:
+            for m in core.pop(n):
+                core.get(m, set()).discard(n)
+    assert {(r["u"], r["v"]) for r in got["two_core_whole"]} == {(n, m) for n in core for m in core[n]}
+    steps = reach(list(core), near)
+    assert max(steps.values()) > 9 and {r["node"]: r["distance"] for r in got["distance_to_core_whole"]} == {n: steps.get(n, -1) for n in near}
+    arcs = [(n, m) for n in near for m in near[n]]
+    hashimoto = np.array([[float(a[1] == b[0] and a[0] != b[1]) for b in arcs] for a in arcs])
+    assert got["nb_spectrum"][0]["radius"] == pytest.approx(np.abs(np.linalg.eigvals(hashimoto)).max(), abs=1e-6) and got["nb_spectrum"][0]["circuit_rank"] == rank
+
+
 def test_feasibility(spark):
     k33 = spark.createDataFrame([(i, j, float(i * j + i)) for i in range(3) for j in range(3)], SCHEMA)
     p = prepare(k33, prior=VarianceStablePrior("auto"))

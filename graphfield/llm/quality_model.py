@@ -1,13 +1,14 @@
 """Quality by a weak-label model and a hashed linear scorer.
 
 Heuristic labellers vote good, bad or nothing on a document.  Expectation
-maximisation over the histogram of vote patterns estimates, without labels, how each
+maximisation over the histogram of all documents' vote patterns estimates, without labels, how each
 labeller votes on good and on bad documents, and the share of good ones.  The posteriors of the
-documents in the sample are then soft labels for a logistic scorer over hashed
+documents in a sample are then soft labels for a logistic scorer over hashed
 words and the votes' own inputs, which judges every whole document.
 
-The sample is about ``sample_docs`` documents chosen by a hash of doc_id; it alone
-reaches the driver, and the weights (2**``bits`` floats) alone are broadcast.
+The sample is about ``sample_docs`` documents chosen by a hash of doc_id; it and the
+histogram (3**8 patterns at most) alone reach the driver, and the weights
+(2**``bits`` floats) alone are broadcast.
 
 A null or empty text has no words: score 0, not kept.  Repeated rows are judged
 each.  Extra columns are ignored.  From an empty table nothing is learned and no
@@ -89,6 +90,20 @@ def scaled(m: np.ndarray) -> np.ndarray:
     return np.column_stack([np.minimum(1, np.log1p(m[:, 0]) / 8), np.minimum(1, m[:, 1]), np.minimum(1, m[:, 2] / 12), *np.minimum(1, m[:, 3:]).T, *bad])
 
 
+def patterns(docs: DataFrame) -> Counter:
+    """How many documents have each pattern of votes; those with a null text don't count."""
+
+    def make():
+        def step(rows):
+            seen = Counter(votes(measures(t, t.split())) for t in rows["text"])
+            return {"pattern": list(seen), "n": list(seen.values())}
+
+        return step
+
+    each = per_batch(docs.where(F.col("text").isNotNull()).select(text_bytes()), "pattern array<int>, n long", make)
+    return Counter({tuple(r["pattern"]): r["n"] for r in each.groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()})
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, bits: int = BITS, epochs: int = EPOCHS) -> Scorer:
     share = min(1.0, sample_docs / max(1, docs.count()))
     near = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(31)), F.lit(1_000_000)) < int(share * 1_000_000) + 1
@@ -98,7 +113,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, bits: int = BITS, epo
     v = [votes(x) for x in m]
     if not v:
         return Scorer(np.zeros(1 << bits), np.zeros(2 * len(LABELLERS)), 0.0, np.zeros((len(LABELLERS), 3, 2)), 0.8)
-    table, prior = fit_labellers(Counter(v))
+    table, prior = fit_labellers(patterns(docs))
     y, dense = posterior(np.array(v), table, prior), scaled(m)
     size = np.array([max(1, len(w)) for w in split])
     row = np.repeat(np.arange(len(split)), [len(w) for w in split])

@@ -306,6 +306,17 @@ def test_quality(docs, empty):
     assert p[0] > 0.9 and p[1] < 0.1 and 0.8 < prior < 0.95
 
 
+def test_quality_counts_every_document(spark):
+    """The labellers' tables come from all vote patterns, however small the scorer's sample."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)) + ".") for i in range(400)] + [(400 + i, "## " * 30 + "!") for i in range(3)] + [(403, ""), (404, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(quality_model.votes(quality_model.measures(t.encode(), t.encode().split())) for _, t in rows if t is not None)
+    assert quality_model.patterns(docs) == want and len(want) == 3
+    table, prior = quality_model.fit_labellers(want)
+    got = quality_model.learn(docs, sample_docs=40)
+    assert np.allclose(got.table, table) and got.prior == pytest.approx(prior)
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_signature(percent):
     rng, bands = np.random.default_rng(3), jaccard_join.Bands(percent)

@@ -25,6 +25,11 @@ get pivots in turn.  Work
 grows with the members of buckets, not with their squares, and no link that joins two
 components is missed.
 
+Components alone are what the pipeline needs.  ``op6_jaccard`` counts links as well: two
+sets that link lie in one component, so the classes of each component are compared with
+each other, all of them, in blocks of about ``BLOCK`` shingles; pairs of blocks whose
+sizes can't link are left out.  That grows with the squares of components.
+
 Words are runs of other than ASCII white space, with A-Z in lower case.  A text of
 fewer words than a shingle is one shingle; an empty or null one has none and links
 with nothing.  Rows with the same doc_id count as linked.  A null doc_id stays
@@ -34,13 +39,16 @@ apart, its component null.  Extra columns are ignored.  An empty table gives non
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Ids, discard, mixed, per_batch, ready, stored, text_bytes, windows
 
 SHINGLE, PERCENT = 3, 90
 CUTS, SPARE, WIDE, SLACK, ROUNDS = 4, 12, 1.37, 4, 3
+#: Shingles of a block, the fewest that a set counts for (which bounds a block's sets), and columns of a product.
+BLOCK, LEAST, COLUMNS = 200_000, 200, 4096
 
 
 def shingles(text: bytes | None, ids: Ids, k: int = SHINGLE) -> np.ndarray:
@@ -219,10 +227,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document."""
+def classed(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, the class's first doc_id and size (documents with an equal set), and component_id of each document."""
     sets = stored(described(docs, k, percent))
-    classes = stored(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")))
+    classes = stored(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("class_size")))
     firsts = classes.where("first is not null").select(F.col("first").alias("doc_id")).distinct()
     each = stored(sets.where("size(signatures) > 0").join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("signatures").alias("signature")))
     lean = stored(sets.drop("signatures"))
@@ -259,7 +267,80 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
             label = components(found)
             break
     out = sets.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    return out.join(label, out["first"] == label.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first")).alias("component_id"))
+    return out.join(label, out["first"] == label.node, "left").select("doc_id", "n_shingles", "first", "class_size", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first")).alias("component_id"))
+
+
+def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document."""
+    return classed(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of the left shares with each of the right."""
+    sizes = [len(s) for s in left + right]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    values, col, often = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    some = often > 1  # others are in one set only
+    row, col = row[some[col]], (np.cumsum(some) - 1)[col[some[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(some.sum()), COLUMNS):
+        at = slice(*np.searchsorted(col, [start, start + COLUMNS]))
+        part = np.zeros((len(sizes), COLUMNS), np.float32)
+        part[row[at], col[at] - start] = 1
+        both += part[: len(left)] @ part[len(left) :].T
+    return both.astype(np.int64)
+
+
+def linked_documents(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(first, others): for each class (first, n_shingles, class_size, component_id), how many documents of other classes link with it."""
+    near = classes.withColumn("many", F.count("*").over(Window.partitionBy("component_id"))).where("many > 1 and n_shingles > 0")
+    before = F.sum(F.greatest("n_shingles", F.lit(LEAST))).over(Window.partitionBy("component_id").orderBy("n_shingles", "first"))
+    near = stored(near.withColumn("block", F.floor((before - 1) / BLOCK)).drop("many"))
+    blocks = near.groupBy("component_id", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.sum(F.greatest("n_shingles", F.lit(LEAST))).alias("weight"))
+    blocks = stored(blocks.withColumn("blocks", F.count("*").over(Window.partitionBy("component_id"))))
+    # components of one block share groups
+    bundles = 1 + (blocks.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0) // BLOCK
+    i, j = (blocks.select("component_id", "blocks", *(F.col(c).alias(c + x) for c in ("block", "low", "high"))) for x in "ij")
+    pairs = i.join(j.drop("blocks"), "component_id").where(f"blocki <= blockj and 100 * highi >= {percent} * lowj")
+    key = F.when(F.col("blocks") == 1, F.concat(F.lit("b"), F.pmod(F.xxhash64("component_id"), F.lit(bundles)))).otherwise(F.concat_ws("-", "component_id", "blocki", "blockj"))
+    sides = stored(pairs.select("component_id", key.alias("key"), F.explode(F.array_distinct(F.array("blocki", "blockj"))).alias("block"), (F.col("blocki") == F.col("blockj")).alias("same"), F.col("blocki")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), text_bytes()).join(near.select("first"), "first", "left_semi").dropDuplicates(["first"])
+    rows = sides.join(near.join(texts, "first"), ["component_id", "block"]).select("key", "component_id", (F.col("block") == F.col("blocki")).alias("left"), "same", "first", "class_size", "text")
+
+    def count(group: pa.Table) -> pa.Table:
+        ids, out, parts = Ids(), {}, {}
+        for component, left, same, first, size, text in zip(*(group[c].to_pylist() for c in ("component_id", "left", "same", "first", "class_size", "text")), strict=True):
+            parts.setdefault(component, (same, [], []))[1 if left else 2].append((first, size, shingles(text, ids, k)))
+        for same, a, b in parts.values():
+            b = a if same else b
+            if not a or not b:
+                continue
+            both = overlaps([x[2] for x in a], [x[2] for x in b])
+            na, nb = (np.array([len(x[2]) for x in side]) for side in (a, b))
+            link = 100 * both >= percent * (na[:, None] + nb - both)
+            if same:
+                np.fill_diagonal(link, False)
+            for side, n in ((a, link @ np.array([x[1] for x in b])), *(() if same else ((b, np.array([x[1] for x in a]) @ link),))):
+                for x, v in zip(side, n.tolist(), strict=True):
+                    out[x[0]] = out.get(x[0], 0) + v
+        return pa.table({"first": pa.array(list(out), pa.int64()), "others": pa.array(list(out.values()), pa.int64())})
+
+    return rows.groupBy("key").applyInArrow(count, "first long, others long").groupBy("first").agg(F.sum("others").alias("others"))
+
+
+def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, class_id, class_size, n_links and component_id of each document.
+
+    A class is the documents with an equal set, by its smallest doc_id; n_links is how many
+    other documents link with this one, its class's among them.
+    """
+    each = stored(classed(docs, k, percent))
+    classes = each.where("doc_id = first").select("first", "n_shingles", "class_size", "component_id").dropDuplicates(["first"])
+    others = linked_documents(docs, classes, k, percent)
+    n_links = F.when(F.col("doc_id").isNotNull(), F.col("class_size") - 1 + F.coalesce("others", F.lit(0)))
+    return each.join(others, "first", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_size")).alias("class_size"), n_links.alias("n_links"), "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -273,5 +354,5 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return join(table(spark, sf_dir, "documents"))
+    return links(table(spark, sf_dir, "documents"))
 

@@ -200,6 +200,31 @@ def test_jaccard_of_a_large_family(spark):
     assert {i: got[i]["component_id"] for i in label} == label
 
 
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    """Links of a family with copies, over several blocks, and of small ones, against brute force."""
+    r = np.random.default_rng(6)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for i in range(40):
+        w = list(base)
+        for k in r.choice(120, r.integers(0, 6), replace=False):
+            w[k] = f"c{i}x{k}"
+        rows += [(i, " ".join(w)), *([(100 + i, " ".join(w))] if i % 4 == 0 else [])]
+    for i in range(10):
+        w = [f"s{i}x{k}" for k in range(60)]
+        rows += [(200 + 2 * i, " ".join(w)), (201 + 2 * i, " ".join([*w, "z"]))]
+    rows += [(300, ""), (301, None), (302, "alone"), (None, rows[0][1])]
+    ids = Ids()
+    sets = {i: jaccard_join.shingles((t or "").encode(), ids) for i, t in rows if i is not None}
+    want = {a: sum(a != b and len(sets[a]) > 0 and jaccard_join.linked(sets[a], sets[b]) for b in sets) for a in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1500, 200_000):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = by_id(jaccard_join.links(docs))
+        assert {i: got[i]["n_links"] for i in want} == want and got[None]["n_links"] is None
+        assert all(got[i]["class_size"] == sum(np.array_equal(sets[i], sets[j]) for j in sets) for i in range(40))
+    assert jaccard_join.links(docs.limit(0)).count() == 0
+
+
 def test_packing(docs, empty, texts):
     from tokenizers import Tokenizer
 

@@ -146,6 +146,33 @@ def test_prepare_rules(spark, repeats):
     assert (nulls.n_firms, nulls.n_workers, nulls.n_edges) == (2, 3, 3)
 
 
+def test_registered_fits_do_the_whole_job(spark, monkeypatch):
+    """Default solvers, at least one fit with rho free, and default probes."""
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def note(name):
+        def run(*args, **more):
+            seen[name] = (args, more)
+            raise Stop
+
+        return run
+
+    monkeypatch.setattr(catalog, "problem", lambda *args, **more: None)
+    monkeypatch.setattr(catalog, "solve", note("solve"))
+    monkeypatch.setattr(catalog.decompose, "prior_decomposition", note("prior"))
+    for name, solver, free in (("fit_suppliers", ExactCholesky(), True), ("fit_stochastic", HutchSLQ(), False)):
+        with pytest.raises(Stop):
+            catalog.QUERIES[name](spark, "")
+        args, more = seen["solve"]
+        assert args[1] == solver and (more.get("fix_rho") is None) == free
+    with pytest.raises(Stop):
+        catalog.QUERIES["hutchinson_prior"](spark, "")
+    assert seen["prior"][1]["probes"] == 200
+
+
 def edge_table(spark, pairs):
     return spark.createDataFrame(pairs, "f long, w long")
 

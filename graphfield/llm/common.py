@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, about; a single larger row is a batch of its own.
 BATCH_BYTES = 8 << 20
+#: Bytes, about, that a worker's cache of words may hold, what an entry takes besides its word, and the longest word that is kept.
+CACHE_BYTES, ENTRY_BYTES, CACHED_WORD = 20 << 20, 200, 64
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII letters to lower case, ASCII other than letters and digits to a blank.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -34,22 +37,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the whole cluster sees; where that is unset (tests), a local one."""
+    """A new folder below spark.checkpoint.dir, which the whole cluster sees; where that is unset, a temporary one in local mode alone."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = "/tmp/checkpoints"
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: the stages need a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="gf-shared-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/gf-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = shared(df.sparkSession)
-    df.write.parquet(path)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind it
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again: cuts lineage and survives lost executors.  Its shuffle files go once it is written."""
+    spark, path = df.sparkSession, shared(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*frames: DataFrame) -> None:
@@ -86,16 +94,28 @@ def text_bytes(name: str = "text"):
     return F.col(name).cast("string").cast("binary").alias(name)
 
 
-class Ids(dict):
-    """Word to a 64-bit hash, kept for the words seen lately."""
+class Kept(dict):
+    """What of() gives for a word, kept for the short words seen lately, up to ``most`` bytes in all."""
 
-    most = 1_000_000
+    def __init__(self, of: Callable[[bytes], object], most: int = CACHE_BYTES):
+        self.find, self.most, self.size = of, most, 0
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+    def __missing__(self, word: bytes):
+        got = self.find(word)
+        if len(word) <= CACHED_WORD:
+            self.size += ENTRY_BYTES + len(word)
+            if self.size > self.most:
+                self.clear()
+                self.size = ENTRY_BYTES + len(word)
+            self[word] = got
+        return got
+
+
+class Ids(Kept):
+    """Word to a 64-bit hash."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        super().__init__(xxhash.xxh64_intdigest, most)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

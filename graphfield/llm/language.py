@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, ready, text_bytes
+from .common import Kept, per_batch, ready, text_bytes
 
 ORDER, DOCS_PER_LANG, LANG_BYTES = 4, 400, 2_000_000
 UNIT, LANE = 1024, 48
@@ -96,18 +96,11 @@ class Trees:
         return [(total >> LANE * i) & (1 << LANE) - 1 for i in range(len(self.langs))]
 
 
-class Costs(dict):
-    most = 500_000
-
+class Costs(Kept):
     def __init__(self, trees: Trees):
+        super().__init__(trees.cost)
         self.trees = trees
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = c = self.trees.cost(word)
-        return c
-
 
 def judge(text: bytes | None, costs: Costs) -> tuple[str, float]:
     """The language of least code length, and its share of the probability that all languages give the text."""

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, ready, text_bytes
+from .common import Kept, per_batch, ready, text_bytes
 
 SEQUENCE, END_ID, GROUP_DOCS = 2048, 1, 1024
 #: Chunks that need no Unicode normalisation and lower-case by character: Latin-1 letters, then at most one mark.
@@ -42,37 +42,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
-class Chunks(dict):
+class Chunks(Kept):
     """A chunk between white space to its ids, as little-endian bytes.  White space never lies in a token, so chunks are independent."""
 
-    most = 500_000
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        super().__init__(self.ids_of)
+        self.tokenizer, self.words = Tokenizer.from_file(path), Kept(self.word)
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def word(self, w: str) -> bytes:
-        if (got := self.words.get(w)) is None:
-            if len(self.words) >= self.most:
-                self.words.clear()
-            shown = w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
-            ids = [t.id for t in self.model.tokenize(shown)]
-            self.words[w] = got = struct.pack(f"<{len(ids)}I", *ids)
-        return got
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
+        shown = w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids_of(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
         if m := PLAIN.fullmatch(text):
-            ids = self.word(m[1].lower()) + (self.word(m[2]) if m[2] else b"")
-        else:
-            got = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(got)}I", *got)
-        self[chunk] = ids
-        return ids
+            return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
+        got = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(got)}I", *got)
 
 
 _CHUNKS: dict[str, Chunks] = {}

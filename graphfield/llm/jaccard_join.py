@@ -1,7 +1,7 @@
-"""N-gram Jaccard self-join with PartEnum signatures, and the components of its links.
+"""N-gram Jaccard self-join with PartEnum signatures: classes, components and numbers of links.
 
-A document's set is that of its word shingles, as 64-bit hashes.  Equal sets are
-folded to the one with the smallest doc_id.  Sets are banded by size; two sets that
+A document's set is that of its word shingles, as 64-bit hashes.  A node is a class of
+equal sets, named by a 64-bit digest.  Sets are banded by size; two sets that
 may link lie in one band or in two that adjoin, where their difference is at most
 ``differences`` elements.  The domain of shingles is cut by a hash into ``n1`` parts
 of ``n2`` smaller ones, with n1 * 2 above that bound: in some part the two sets differ
@@ -13,40 +13,47 @@ parts with one at most: if fewer parts of a set have an empty choice, it shares
 signature with elements all the same.  Otherwise it adds those of another cut; a pair
 of which neither is safe in a cut has the next one in common (the last keeps all).
 
-Signatures with two sets or more are buckets.  The member that most buckets share is
-a bucket's pivot, and each member is checked against it.  Two members x and y of which
+Signatures of two nodes or more are buckets: the signatures are summed up to the least
+and the greatest node before a shuffle, and joined back, so hot ones can be split.
+Buckets of at most ``FEW`` nodes are checked pair by pair.  Each node has a sketch, the
+number of its elements in each of about half as many cells; the cells' differences
+bound the sets' difference from below, so most pairs fall without their texts.  In a
+larger bucket, the node that most buckets share is the pivot, and each node
+is checked against it.  Two nodes x and y of which
 not both link with pivot c can only link if x and y differ from c in common elements:
 of the differences x ^ c and y ^ c, at least (|x ^ c| + |y ^ c| - q (|x| + |y|)) / 2,
 with q = (100 - percent) / (100 + percent).  So, as in a prefix filter, some element
 is among the first few of both differences, those that c lacks coming first; such
-elements are the next buckets.  These are small, and are checked pair by pair if the
-pairs are at most a few times their members, or after ``ROUNDS`` rounds; else they
-get pivots in turn.  Work
-grows with the members of buckets, not with their squares, and no link that joins two
-components is missed.
+elements are the next buckets, without the pivot, so they get smaller until all are
+small.  No link that joins two components is missed.
 
 Components alone are what the pipeline needs.  ``op6_jaccard`` counts links as well: two
 sets that link lie in one component, so the classes of each component are compared with
-each other, all of them, in blocks of about ``BLOCK`` shingles; pairs of blocks whose
-sizes can't link are left out.  That grows with the squares of components.
+each other, all of them, in blocks of about ``BLOCK`` shingles.  That grows with the
+squares of components.
 
 Words are runs of other than ASCII white space, with A-Z in lower case.  A text of
 fewer words than a shingle is one shingle; an empty or null one has none and links
-with nothing.  Rows with the same doc_id count as linked.  A null doc_id stays
-apart, its component null.  Extra columns are ignored.  An empty table gives none.
+with nothing.  Rows with the same doc_id count as linked, whatever their texts, each
+row with its own set; their components are one.  A null doc_id
+is compared like others, but names neither class nor component; it has null for all
+but n_shingles.  A text may be of any length: it is held once in a task, its set
+besides.  Ties (of pivots) go to the greater digest; equality of shingles, sets and
+signatures is that of their 64-bit hashes (128 bits for classes).  Repeated rows give
+a row each.  Extra columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Ids, discard, mixed, per_batch, ready, stored, text_bytes, windows
 
 SHINGLE, PERCENT = 3, 90
-CUTS, SPARE, WIDE, SLACK, ROUNDS = 4, 12, 1.37, 4, 3
+CUTS, SPARE, WIDE, FEW = 4, 12, 1.37, 12
 #: Shingles of a block, the fewest that a set counts for (which bounds a block's sets), and columns of a product.
 BLOCK, LEAST, COLUMNS = 200_000, 200, 4096
 
@@ -118,67 +125,97 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements lie in each of about half as many cells, a power of two; empty if a number is above a byte."""
+    bits = max(3, int(len(s)).bit_length() - 1)
+    cells = np.bincount((mixed(s ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return cells.astype(np.uint8).tobytes() if cells.max(initial=0) < 256 else b""
+
+
+def may_link(na: int, a: bytes, nb: int, b: bytes, percent: int = PERCENT) -> bool:
+    """False only for sketches whose sets can't link: the finer one is folded, and the cells' differences are a bound from below."""
+    if not a or not b:
+        return True
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    apart = int(np.abs(x.reshape(len(y), -1).sum(1) - y).sum())
+    return apart * (100 + percent) <= (na + nb) * (100 - percent)
+
+
+SETS = "doc_id long, mark long, n_shingles long, k1 long, k2 long, sketch binary, signatures array<long>"
+
+
 def described(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, set size, a 128-bit digest of the set, and its signatures."""
+    """doc_id, a hash of the text (with the doc_id, it names the row), set size, a 128-bit digest of the set, its sketch and its signatures."""
 
     def make():
         ids, bands = Ids(), Bands(percent)
 
         def step(rows):
-            out = {x: [] for x in ("doc_id", "n_shingles", "k1", "k2", "signatures")}
-            for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
+            out = {x: [] for x in ("doc_id", "mark", "n_shingles", "k1", "k2", "sketch", "signatures")}
+            for doc, mark, text in zip(rows["doc_id"], rows["mark"], rows["text"], strict=True):
                 s = shingles(text, ids, k)
-                if len(s):
-                    k1 = int(mixed(s).sum(dtype=np.uint64).view(np.int64))
-                    k2 = int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
-                else:
-                    k1, k2 = doc or 0, -1  # by itself
-                for x, v in zip(out, (doc, len(s), k1, k2, bands.signatures(s).view(np.int64)), strict=True):
+                k1 = int(mixed(s).sum(dtype=np.uint64).view(np.int64))
+                k2 = int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x9E3779B97F4A7C15)), initial=np.uint64(0)).view(np.int64))
+                for x, v in zip(out, (doc, mark, len(s), k1, k2, sketch(s), bands.signatures(s).view(np.int64)), strict=True):
                     out[x].append(v)
             return out
 
         return step
 
-    ready(docs.sparkSession)
-    return per_batch(docs.select(F.col("doc_id").cast("long"), text_bytes()), "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>", make)
+    return per_batch(named(docs), SETS, make)
 
 
-def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the texts s and t."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    some = stored(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (with the doc_id it names a row) and text."""
+    ready(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
 class _Sets(dict):
-    """The sets of the documents of one batch."""
+    """The sets of the nodes of one batch."""
 
     def __init__(self, ids: Ids, k: int):
         self.ids, self.k = ids, k
 
-    def of(self, doc: int, text: bytes) -> np.ndarray:
-        if doc not in self:
-            self[doc] = shingles(text, self.ids, self.k)
-        return self[doc]
+    def of(self, node: int, text: bytes) -> np.ndarray:
+        if node not in self:
+            self[node] = shingles(text, self.ids, self.k)
+        return self[node]
 
 
-def checked(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link, judged on their whole texts."""
+def with_both(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b) of nodes with those columns of both, as name_a and name_b."""
+    a, b = (nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", *(f"{c}_{x}" for c in columns for x in "ab"))
 
-    def make():
+
+def checked(pairs: DataFrame, nodes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that link: by their sketches first, then judged on their whole texts."""
+
+    def sketched():
+        def step(rows):
+            good = [may_link(*x, percent) for x in zip(rows["n_shingles_a"], rows["sketch_a"], rows["n_shingles_b"], rows["sketch_b"], strict=True)]
+            return {x: [v for v, g in zip(rows[x], good, strict=True) if g] for x in ("a", "b")}
+
+        return step
+
+    def whole():
         ids = Ids()
 
         def step(rows):
             sets = _Sets(ids, k)
-            good = [linked(sets.of(a, s), sets.of(b, t), percent) for a, b, s, t in zip(rows["a"], rows["b"], rows["s"], rows["t"], strict=True)]
+            good = [linked(sets.of(a, s), sets.of(b, t), percent) for a, b, s, t in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"], strict=True)]
             return {x: [v for v, g in zip(rows[x], good, strict=True) if g] for x in ("a", "b")}
 
         return step
 
-    return per_batch(with_texts(pairs, docs), "a long, b long", make)
+    some = per_batch(with_both(pairs, nodes, "n_shingles", "sketch"), "a long, b long", sketched)
+    return per_batch(with_both(some, nodes, "text"), "a long, b long", whole)
 
 
-def against_pivots(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def against_pivots(pairs: DataFrame, nodes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """For pairs (member a, pivot b): whether they link, and the next buckets, for pairs with a member that doesn't and for pairs of two such."""
 
     def make():
@@ -186,7 +223,7 @@ def against_pivots(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent:
 
         def step(rows):
             sets, out = _Sets(ids, k), {x: [] for x in ("a", "b", "linked", "near", "far")}
-            for a, b, s, t in zip(rows["a"], rows["b"], rows["s"], rows["t"], strict=True):
+            for a, b, s, t in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"], strict=True):
                 x, c = sets.of(a, s), sets.of(b, t)
                 own, lost = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
                 apart, n = np.concatenate([np.sort(mixed(own)), np.sort(mixed(lost))]), len(own) + len(lost)
@@ -203,7 +240,7 @@ def against_pivots(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent:
 
         return step
 
-    return per_batch(with_texts(pairs, docs), "a long, b long, linked boolean, near array<long>, far array<long>", make)
+    return per_batch(with_both(pairs, nodes, "text"), "a long, b long, linked boolean, near array<long>, far array<long>", make)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -216,10 +253,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = stored(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("component")))
     while True:
         near = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("component").alias("near"))
-        low = stored(labels.join(near, labels.node == near.u, "left").select("node", F.least("component", F.coalesce("near", "component")).alias("low"), F.col("component").alias("was")))
+        low = labels.join(near, labels.node == near.u, "left").select("node", F.least("component", F.coalesce("near", "component")).alias("low"), F.col("component").alias("was"))
         up = low.select(F.col("node").alias("top"), F.col("low").alias("jump"))
         new = stored(low.join(up, low.low == up.top, "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("component"), "was"))
-        discard(low, labels)
+        discard(labels)
         done = new.where("component < was").isEmpty()
         labels = new.drop("was")
         if done:
@@ -227,52 +264,81 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classed(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, the class's first doc_id and size (documents with an equal set), and component_id of each document."""
+class Joined:
+    """The stored tables of a join, all keyed by node (k1): rows, nodes in buckets with their texts, and labels."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, labels: DataFrame):
+        self.rows, self.nodes, self.labels = rows, nodes, labels
+
+    def discard(self) -> None:
+        discard(self.rows, self.nodes, self.labels)
+
+
+def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Joined:
+    """All links that components need, found and followed."""
     sets = stored(described(docs, k, percent))
-    classes = stored(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("class_size")))
-    firsts = classes.where("first is not null").select(F.col("first").alias("doc_id")).distinct()
-    each = stored(sets.where("size(signatures) > 0").join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("signatures").alias("signature")))
-    lean = stored(sets.drop("signatures"))
-    shared = stored(each.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"))
+    each = sets.where("size(signatures) > 0").select(F.explode("signatures").alias("signature"), F.col("k1").alias("node"))
+    shared = stored(each.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("signature"))
     # of: 0 for members that link with the last pivot, 1 for others; a bucket with both has no pairs but of the two kinds
-    members = stored(each.join(shared, "signature").select("signature", "doc_id", F.lit(1).alias("of"), F.lit(True).alias("all")))
-    discard(each, shared, sets)
-    sets = lean
-    found, rounds = None, ROUNDS
+    buckets = stored(each.join(shared.hint("merge"), "signature").distinct())
+    discard(shared)
+    lean = sets.where("n_shingles > 0").groupBy(F.col("k1").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    reps = buckets.select("node").distinct().join(lean.hint("merge"), "node").select("node", "row.doc_id", "row.mark", "n_shingles", "sketch")
+    t = named(docs).withColumnRenamed("doc_id", "own").withColumnRenamed("mark", "hash")
+    nodes = t.join(reps.hint("merge"), (F.col("own").eqNullSafe(F.col("doc_id"))) & (F.col("hash") == F.col("mark"))).dropDuplicates(["own", "hash"])
+    nodes = stored(nodes.select("node", "n_shingles", "sketch", "text"))
+    rows = stored(sets.select("doc_id", "mark", "n_shingles", "k1", "k2"))
+    discard(sets)
+    members = buckets.select("signature", "node", F.lit(1).alias("of"), F.lit(True).alias("all"))
+    found, spent = [], [buckets]
     while True:
-        size = stored(members.groupBy("signature").agg(F.count("*").alias("n")))
-        weight = members.join(size, "signature").groupBy("doc_id").agg(F.sum("n").alias("weight"))
-        pivots = stored(members.join(weight, "doc_id").groupBy("signature").agg(F.max_by("doc_id", F.struct("weight", "doc_id")).alias("pivot")))
-        pairs = stored(members.join(pivots, "signature").where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
-        seen = stored(against_pivots(pairs, docs, k, percent))
-        new = seen.where("linked").select("a", "b")
-        found = stored(new if found is None else found.union(new))
-        label = components(found)
-        rows = seen.select(F.col("a").alias("doc_id"), (~F.col("linked")).cast("int").alias("of"), F.explode("near").alias("signature"), F.lit(False).alias("all")).unionByName(seen.where("not linked").select(F.col("a").alias("doc_id"), F.lit(1).alias("of"), F.explode("far").alias("signature"), F.lit(True).alias("all")))
-        counts = rows.groupBy("signature").agg(F.count("*").alias("n"), F.sum("of").alias("n1"), F.first("all").alias("all"))
-        counts = stored(counts.where("n > 1 and (all or (n1 > 0 and n1 < n))"))
-        total, size = counts.agg(F.sum(F.when(F.col("all"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n1") * (F.col("n") - F.col("n1")))), F.sum("n")).first()
-        if not total:
-            break
-        rounds -= 1
-        discard(members)
-        members = stored(rows.join(counts.select("signature"), "signature").distinct())
-        discard(seen)
-        if total <= SLACK * size or not rounds:
-            named = members.join(label, members.doc_id == label.node, "left").select("signature", "doc_id", "of", "all", F.coalesce("component", "doc_id").alias("component"))
-            a, b = (named.select("signature", F.col("doc_id").alias(x), F.col("of").alias("of" + x), F.col("all").alias("all" + x), F.col("component").alias("c" + x)) for x in "ab")
-            pairs = stored(a.join(b, "signature").where("a < b and ca <> cb and (alla or ofa <> ofb)").select("a", "b").distinct())
-            found = stored(found.union(checked(pairs, docs, k, percent)))
-            label = components(found)
+        size = members.groupBy("signature").agg(F.count("*").alias("n"), F.sum("of").alias("n1"), F.first("all").alias("both")).where("n > 1 and (both or (n1 > 0 and n1 < n))").select("signature", "n")
+        now = stored(members.join(size.hint("merge"), "signature"))
+        discard(*spent)
+        a, b = (now.where(F.col("n") <= FEW).select("signature", F.col("node").alias(x), F.col("of").alias("of" + x), F.col("all").alias("all" + x)) for x in "ab")
+        pairs = a.join(b.hint("merge"), "signature").where("a < b and (alla or ofa <> ofb)").select("a", "b").distinct()
+        found.append(stored(checked(pairs, nodes, k, percent)))
+        large = now.where(F.col("n") > FEW)
+        if large.isEmpty():
+            discard(now)
             break
-    out = sets.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    return out.join(label, out["first"] == label.node, "left").select("doc_id", "n_shingles", "first", "class_size", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first")).alias("component_id"))
+        often = large.groupBy("node").agg(F.count("*").alias("often"))
+        pivots = large.join(often.hint("merge"), "node").groupBy("signature").agg(F.max_by("node", F.struct("often", "node")).alias("pivot"))
+        pairs = large.join(pivots.hint("merge"), "signature").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        seen = stored(against_pivots(pairs, nodes, k, percent))
+        discard(now)
+        found.append(stored(seen.where("linked").select("a", "b")))
+        spent = [seen]
+        near = seen.select(F.explode("near").alias("signature"), F.col("a").alias("node"), (~F.col("linked")).cast("int").alias("of"), F.lit(False).alias("all"))
+        far = seen.where("not linked").select(F.explode("far").alias("signature"), F.col("a").alias("node"), F.lit(1).alias("of"), F.lit(True).alias("all"))
+        members = near.unionByName(far).distinct()
+    doubled = rows.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least < most").select("doc_id", "least")
+    same = rows.where("n_shingles > 0").join(doubled, "doc_id").where("k1 <> least").select(F.col("k1").alias("a"), F.col("least").alias("b"))
+    links = same
+    for f in found:
+        links = links.union(f)
+    labels = components(links)
+    discard(*found)
+    return Joined(rows, nodes, labels)
+
+
+def labelled(j: Joined) -> DataFrame:
+    """The rows with their group: the least node that links reach; null for an empty set."""
+    return j.rows.join(j.labels, j.rows.k1 == j.labels.node, "left").select("doc_id", "mark", "n_shingles", "k1", "k2", F.when(F.col("n_shingles") > 0, F.coalesce("component", "k1")).alias("group"))
+
+
+def with_components(rows: DataFrame) -> DataFrame:
+    """What labelled() gives, with the smallest doc_id of each group as component_id."""
+    low = rows.where("group is not null and doc_id is not null").groupBy(F.col("group").alias("of_group")).agg(F.min("doc_id").alias("low"))
+    return rows.join(low, F.col("group") == F.col("of_group"), "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))).drop("of_group", "low")
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
-    return classed(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+    j = joined(docs, k, percent)
+    out = stored(with_components(labelled(j)).select("doc_id", "n_shingles", "component_id"))
+    j.discard()
+    return out
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -293,26 +359,22 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
-def linked_documents(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(first, others): for each class (first, n_shingles, class_size, component_id), how many documents of other classes link with it."""
-    near = classes.withColumn("many", F.count("*").over(Window.partitionBy("component_id"))).where("many > 1 and n_shingles > 0")
-    before = F.sum(F.greatest("n_shingles", F.lit(LEAST))).over(Window.partitionBy("component_id").orderBy("n_shingles", "first"))
-    near = stored(near.withColumn("block", F.floor((before - 1) / BLOCK)).drop("many"))
-    blocks = near.groupBy("component_id", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.sum(F.greatest("n_shingles", F.lit(LEAST))).alias("weight"))
-    blocks = stored(blocks.withColumn("blocks", F.count("*").over(Window.partitionBy("component_id"))))
-    # components of one block share groups
-    bundles = 1 + (blocks.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0) // BLOCK
-    i, j = (blocks.select("component_id", "blocks", *(F.col(c).alias(c + x) for c in ("block", "low", "high"))) for x in "ij")
-    pairs = i.join(j.drop("blocks"), "component_id").where(f"blocki <= blockj and 100 * highi >= {percent} * lowj")
-    key = F.when(F.col("blocks") == 1, F.concat(F.lit("b"), F.pmod(F.xxhash64("component_id"), F.lit(bundles)))).otherwise(F.concat_ws("-", "component_id", "blocki", "blockj"))
-    sides = stored(pairs.select("component_id", key.alias("key"), F.explode(F.array_distinct(F.array("blocki", "blockj"))).alias("block"), (F.col("blocki") == F.col("blockj")).alias("same"), F.col("blocki")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("first"), text_bytes()).join(near.select("first"), "first", "left_semi").dropDuplicates(["first"])
-    rows = sides.join(near.join(texts, "first"), ["component_id", "block"]).select("key", "component_id", (F.col("block") == F.col("blocki")).alias("left"), "same", "first", "class_size", "text")
-
-    def count(group: pa.Table) -> pa.Table:
+def linked_documents(nodes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(node, others): for each node (node, n_shingles, class_size, group, text) of a group, how many documents of other nodes link with it."""
+    weight = F.greatest("n_shingles", F.lit(LEAST))
+    groups = stored(nodes.groupBy("group").agg(F.count("*").alias("many"), F.sum(weight).alias("weight")).where("many > 1").select("group", F.ceil(F.col("weight") / BLOCK).alias("blocks"), "weight"))
+    # groups of one block share tasks
+    bundles = 1 + (groups.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0) // BLOCK
+    near = nodes.join(groups.select("group", "blocks").hint("merge"), "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit(61)), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = near.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    key = F.when(F.col("blocks") == 1, F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(bundles)))).otherwise(F.concat_ws("-", "group", "i", "j"))
+    rows = rows.select(key.alias("key"), "group", (F.col("block") == F.col("i")).alias("left"), (F.col("i") == F.col("j")).alias("same"), "node", "class_size", "text")
+
+    def count(table: pa.Table) -> pa.Table:
         ids, out, parts = Ids(), {}, {}
-        for component, left, same, first, size, text in zip(*(group[c].to_pylist() for c in ("component_id", "left", "same", "first", "class_size", "text")), strict=True):
-            parts.setdefault(component, (same, [], []))[1 if left else 2].append((first, size, shingles(text, ids, k)))
+        for group, left, same, node, size, text in zip(*(table[c].to_pylist() for c in ("group", "left", "same", "node", "class_size", "text")), strict=True):
+            parts.setdefault(group, (same, [], []))[1 if left else 2].append((node, size, shingles(text, ids, k)))
         for same, a, b in parts.values():
             b = a if same else b
             if not a or not b:
@@ -325,34 +387,49 @@ def linked_documents(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, perc
             for side, n in ((a, link @ np.array([x[1] for x in b])), *(() if same else ((b, np.array([x[1] for x in a]) @ link),))):
                 for x, v in zip(side, n.tolist(), strict=True):
                     out[x[0]] = out.get(x[0], 0) + v
-        return pa.table({"first": pa.array(list(out), pa.int64()), "others": pa.array(list(out.values()), pa.int64())})
+        return pa.table({"node": pa.array(list(out), pa.int64()), "others": pa.array(list(out.values()), pa.int64())})
 
-    return rows.groupBy("key").applyInArrow(count, "first long, others long").groupBy("first").agg(F.sum("others").alias("others"))
+    return rows.groupBy("key").applyInArrow(count, "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
 
 
 def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id, class_size, n_links and component_id of each document.
 
     A class is the documents with an equal set, by its smallest doc_id; n_links is how many
-    other documents link with this one, its class's among them.
+    other documents link with this row's set, its class's among them.
     """
-    each = stored(classed(docs, k, percent))
-    classes = each.where("doc_id = first").select("first", "n_shingles", "class_size", "component_id").dropDuplicates(["first"])
-    others = linked_documents(docs, classes, k, percent)
-    n_links = F.when(F.col("doc_id").isNotNull(), F.col("class_size") - 1 + F.coalesce("others", F.lit(0)))
-    return each.join(others, "first", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_size")).alias("class_size"), n_links.alias("n_links"), "component_id")
+    j = joined(docs, k, percent)
+    rows = stored(with_components(labelled(j)))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("k1").alias("node"), F.col("k2").alias("also")).agg(F.min("doc_id").alias("class"), F.count_distinct("doc_id").alias("size"), F.first("group").alias("of_group"))
+    classes = stored(classes)
+    some = j.nodes.join(classes.hint("merge"), "node").join(j.labels.hint("merge"), "node").select("node", "n_shingles", F.col("size").alias("class_size"), F.col("of_group").alias("group"), "text")
+    others = stored(linked_documents(some, k, percent))
+    j.discard()
+    out = rows.join(classes, (rows.k1 == classes.node) & (rows.k2 == classes.also) & (F.col("n_shingles") > 0), "left").drop("node").join(others, F.col("k1") == others.node, "left")
+    mine = lambda c: F.when(F.col("doc_id").isNotNull(), c)
+    alone = F.when(F.col("n_shingles") > 0, F.col("size") - 1 + F.coalesce("others", F.lit(0))).otherwise(F.lit(0))
+    return out.select("doc_id", "n_shingles", mine(F.coalesce("class", "doc_id")).alias("class_id"), mine(F.coalesce("size", F.lit(1))).alias("class_size"), mine(alone).alias("n_links"), "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents without all but one of each component, with all their columns; those with a null doc_id stay."""
-    own = join(docs, k, percent).where("doc_id = component_id").select(F.col("component_id").alias("gf_first")).distinct()
-    cast = F.col("doc_id").cast("long")
-    kept = docs.where(cast.isNotNull()).join(own, cast == F.col("gf_first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(cast.isNull()))
+    """The documents without all but one row of each component (the smallest doc_id, a null one last), with all their columns.
+
+    Of rows without words, one of each doc_id stays; those with a null doc_id all stay.
+    """
+    j = joined(docs, k, percent)
+    rows = labelled(j)
+    row = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("row")
+    first = rows.where("group is not null").groupBy("group").agg(row).select("row.doc_id", "row.mark")
+    bare = rows.where("group is null and doc_id is not null").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    own = stored(first.union(bare).select(F.col("doc_id").alias("gf_doc"), F.col("mark").alias("gf_mark")))
+    j.discard()
+    mark, cast = F.xxhash64(F.col("text").cast("string").cast("binary")), F.col("doc_id").cast("long")
+    marked = docs.withColumn("gf_text", mark)
+    kept = marked.join(own.hint("merge"), cast.eqNullSafe(F.col("gf_doc")) & (F.col("gf_text") == F.col("gf_mark"))).dropDuplicates(["gf_doc", "gf_mark"]).select(*docs.columns)
+    return kept.unionByName(docs.where(cast.isNull() & ~F.coalesce(F.col("text").cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))))
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return links(table(spark, sf_dir, "documents"))
-

@@ -343,7 +343,7 @@ def test_quality_counts_every_document(spark):
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_linked_sets_share_a_signature(percent):
+def test_linked_sets_of_many_sizes_share_a_signature(percent):
     rng, bands = np.random.default_rng(3), jaccard_join.Bands(percent)
     for _ in range(1500):
         n = int(np.exp(rng.uniform(np.log(3), np.log(700))))

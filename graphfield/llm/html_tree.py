@@ -13,9 +13,15 @@ labelled pages.  ``labelled_pages`` makes them from a seed: its blocks carry the
 label in an attribute that no feature reads.  Other labelled pages in that form may
 be given instead.
 
-Text in head, script, style and the like is never content.  A null html counts as
-empty.  Repeated rows are extracted each.  Extra columns are ignored.  An empty
-table gives no rows.
+Script, style, textarea, title, xmp, iframe and noframes hold raw text up to their end
+tag, which is never content, nor is text in head, noscript, template, svg, button or
+select.  Those are elements like others: unclosed, they end with their parent, and
+button, select and svg at the next block as well; head ends at what can't stand in it.
+
+A null or empty html has an empty text.  A page of any length or depth is parsed in one
+pass: open tags are counted, and what a start tag closes is looked up, not searched.  A
+marginal of exactly a half (a tie) isn't content.  Repeated rows are extracted each.
+Extra columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,13 +39,21 @@ from .common import per_batch, ready
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RAW = frozenset("script style noscript iframe textarea title template svg math object select button noframes xmp".split())
-SKIP = frozenset({"head"})
+RAW = frozenset("script style iframe textarea title noframes xmp".split())
+#: Text in these isn't content; the second lot ends at the next block.
+BRIEF = frozenset("button select svg".split())
+RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+SKIP = frozenset("head noscript template".split()) | BRIEF
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body article main section div header footer nav aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot caption tr td th blockquote pre figure figcaption address details summary dialog menu center hgroup search legend".split())
-#: What a start tag closes, if open, and the tags that search doesn't pass.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody"}, {"table"}), "body": ({"head"}, set())}
-CELLS = frozenset("td th table body html".split())
+#: What a start tag closes, if it is open in the nearest of the tags that bound it.
+CELLS = "td th table body html"
+CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "tbody": ("thead tbody tfoot", "table"), "body": ("head", ""), "p": ("p", CELLS)}
+CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
+SAME = {"dd": "dt", "th": "td", "thead": "tbody", "tfoot": "tbody"}
+#: The entries of CLOSES in which a tag plays a part.
+PARTS = {t: [k for k, (a, b) in CLOSES.items() if t in a | b] for t in frozenset().union(*(a | b for a, b in CLOSES.values()))}
 CLUES = frozenset("nav navbar menu sidebar side footer header head ad ads advert advertisement sponsor sponsored promo banner cookie cookies consent notice alert comment comments reply replies discussion share social related recommended newsletter subscribe signup login search form breadcrumb breadcrumbs widget popup modal masthead topbar copyright legal disclaimer byline meta tags author pagination article content post entry main story body text page wrapper container".split())
 CLUE = re.compile(r"[a-z]+")
 ENDS = re.compile(r"[.!?…][\"'”»)]*(?:\s|$)")
@@ -58,6 +72,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("html", -1, 0, 0, frozenset(), None)]
     pieces: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, and the nearest block node of each
+    count = Counter()  # open elements by tag
+    marks: dict[str, list[tuple[int, bool]]] = {k: [] for k in CLOSES}  # for each entry of CLOSES its open tags, and whether they are closed by it
     buffer: list[str] = []
     linked, at, in_link, hidden = 0, 0, 0, 0
 
@@ -73,16 +89,42 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             buffer.clear()
         linked = 0
 
-    def pop() -> None:
+    def push(tag: str, node: int) -> None:
         nonlocal in_link, hidden
-        if stack[-1][0] in BLOCK:
-            flush()
-        tag, _ = stack.pop()
-        in_link -= tag == "a"
-        hidden -= tag in SKIP
+        stack.append((tag, node))
+        count[tag] += 1
+        for k in PARTS.get(tag, ()):
+            marks[k].append((len(stack) - 1, tag in CLOSES[k][0]))
+        in_link += tag == "a"
+        hidden += tag in SKIP
+
+    def cut(to: int) -> None:
+        """Close all from that place of the stack on."""
+        nonlocal in_link, hidden
+        while len(stack) > to:
+            if stack[-1][0] in BLOCK:
+                flush()
+            tag, _ = stack.pop()
+            count[tag] -= 1
+            for k in PARTS.get(tag, ()):
+                marks[k].pop()
+            in_link -= tag == "a"
+            hidden -= tag in SKIP
+
+    def place(tag: str) -> int:
+        at = len(stack) - 1
+        while stack[at][0] != tag:
+            at -= 1
+        return at
+
+    def closes(entry: str) -> None:
+        if marks[entry] and marks[entry][-1][1]:
+            cut(marks[entry][-1][0])
 
     def words(text: str) -> None:
         nonlocal linked
+        if text and count["head"] and not count["noscript"] and not count["template"] and not text.isspace():
+            cut(place("head"))
         if text and not hidden:
             buffer.append(text)
             if in_link:
@@ -102,15 +144,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            if any(t == tag for t, _ in stack[1:]):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+            if count[tag]:
+                cut(place(tag))
             continue
+        if count["head"] and tag not in IN_HEAD and not count["noscript"] and not count["template"]:
+            cut(place("head"))
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if not m[3].endswith("/"):
-                at = end.end() if end else len(page)
+            end = RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -118,27 +159,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             elif tag == "br":
                 words(" ")
             continue
-        if tag == "html":
+        if tag == "html" or (tag == "svg" and m[3].endswith("/")):
             continue
         if tag in BLOCK:
-            for t, _ in reversed(stack):
-                if t == "p":
-                    while stack[-1][0] != "p":
-                        pop()
-                    pop()
-                    break
-                if t in CELLS:
-                    break
-        if tag in CLOSES:
-            what, stop = CLOSES[tag]
-            for t, _ in reversed(stack[1:]):
-                if t in stop:
-                    break
-                if t in what:
-                    while stack[-1][0] != t:
-                        pop()
-                    pop()
-                    break
+            for brief in BRIEF:
+                if count[brief]:
+                    cut(place(brief))
+            closes("p")
+        if (entry := SAME.get(tag, tag)) in CLOSES and entry != "p":
+            closes(entry)
         if tag in BLOCK:
             flush()
             attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3] else {}
@@ -147,11 +176,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 clues |= {"hidden"}
             label = attributes.get("data-y")
             nodes.append(Node(tag, stack[-1][1], len(nodes), len(stack), clues, int(label) if label else None))
-            stack.append((tag, len(nodes) - 1))
+            push(tag, len(nodes) - 1)
         else:
-            stack.append((tag, stack[-1][1]))
-            in_link += tag == "a"
-            hidden += tag in SKIP
+            push(tag, stack[-1][1])
     flush()
     return nodes, pieces
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -95,25 +96,45 @@ def test_language(docs, empty, texts):
     assert language.predict(empty, trees).count() == 0
 
 
-def test_tree_costs_are_a_code():
-    """The costs of all bytes after a context add up to no more than one code's space."""
-    t = language.Trees({"a": Counter({b"abab": 3, b"ba": 2}), "b": Counter({b"xy": 1})}, 2)
-    for c in (b" a", b"ab", b"zz"):
-        for lane in range(2):
-            total = 0.0
-            for s in range(256):
-                k, cost = 2, 0
-                while k >= 0:
-                    g = c[2 - k :] + bytes([s])
-                    if g in t.known[k]:
-                        cost += t.known[k][g]
-                        break
-                    cost += t.escapes[k].get(g[:-1], 0)
-                    k -= 1
-                else:
-                    cost += t.unknown
-                total += 2.0 ** -(t.lanes(cost)[lane] / language.UNIT)
-            assert total <= 1.01
+def brute_costs(samples: list[bytes], text: bytes, order: int) -> float:
+    """Code length of a text in bits, by the definition: escapes down to the longest context that knows the byte."""
+    follow: dict[bytes, Counter] = {}
+    for s in samples:
+        s = b" " * order + s
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                follow.setdefault(s[i - k : i], Counter())[s[i]] += 1
+    total, text = 0, b" " * order + text
+    for i in range(order, len(text)):
+        for k in range(order, -1, -1):
+            f = follow.get(text[i - k : i], Counter())
+            n = sum(f.values()) + len(f)
+            if text[i] in f:
+                total += round(-np.log2(f[text[i]] / n) * language.UNIT)
+                break
+            total += round(-np.log2(len(f) / n) * language.UNIT) if f else 0
+        else:
+            total += 8 * language.UNIT
+    return total
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=30), min_size=1, max_size=3), st.lists(st.text("ab c1", max_size=30), min_size=1, max_size=3), st.lists(st.text("abc 1d\u00fc", max_size=40), min_size=1, max_size=4))
+def test_code_lengths(one, two, texts):
+    """Vectorised costs equal the definition's, whole texts, over slice borders too."""
+    one, two, texts = [t.lower() for t in one], [t.encode() for t in two], [t.encode() for t in texts]
+    t = language.Trees({"a": one, "b": two}, 3)
+    old, language.SLICE = language.SLICE, 7
+    try:
+        got = t.lengths(texts)
+    finally:
+        language.SLICE = old
+    assert got.tolist() == [[brute_costs(one, x, 3), brute_costs(two, x, 3)] for x in texts]
+
+
+def test_letters():
+    assert [language.lettered(t.encode()) for t in ("\u00bd", "12 \u00b2", "\u2460", "\u00fc", "\u4e2d", "a", "", "_-")] == [False, False, False, True, True, True, False, False]
+    assert not language.lettered(None)
 
 
 def test_pii(docs, empty):
@@ -321,6 +342,31 @@ def test_html(spark):
     assert wrong < 0.03 * total
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "noscript", "template", "math", "span", "p", "b"])
+def test_unclosed_elements_end_with_their_parent(tag):
+    """What follows an unclosed element's parent is kept; a block ends an unclosed button, select or svg."""
+    nodes, pieces = html_tree.parse(f"<body><div><{tag}>in</div><article><p>first one</p><p>second</p></article>")
+    assert [t for _, t in pieces][-2:] == ["first one", "second"]
+    if tag in html_tree.BRIEF:
+        assert [t for _, t in html_tree.parse(f"<article><{tag}>in<p>first</p>")[1]] == ["first"]
+
+
+def test_head_ends_at_text_and_blocks():
+    assert [t for _, t in html_tree.parse("<head><title>x</title><meta a=b><p>one<p>two")[1]] == ["one", "two"]
+    assert [t for _, t in html_tree.parse("<head><script>a<b</script> <noscript><p>no</p></noscript></head>text <svg/>after <math><mi>x</mi></math>")[1]] == ["text after x"]
+    assert html_tree.parse("<script>var a = 1; <p>never")[1] == []
+
+
+def test_deep_and_long_pages_take_linear_time():
+    n = 100_000
+    for page in ("<div>" * n + "text", "<li><ol>" + "<div>" * n + "<li></li>" * n + "text", "<table><tr><td>" + "<div>" * n + "<p>x</div>" * 1000, "</b>" * n + "<i>" * n + "</b>" * n + "text", "<svg/>" * n + "text"):
+        began = time.process_time()
+        nodes, pieces = html_tree.parse(page)
+        assert time.process_time() - began < 20 and pieces
+    nodes, _ = html_tree.parse("<div>" * n + "text")
+    assert len(nodes) == n + 1 and len(html_tree.TreeField().marginals(nodes)[0]) == n + 1
+
+
 def test_quality(docs, empty):
     got = by_id(quality_model.score(docs))
     assert got[64]["score"] == 0 and not got[63]["kept"] and 0 <= got[1]["score"] <= 1

@@ -15,17 +15,20 @@ of which neither is safe in a cut has the next one in common (the last keeps all
 
 Signatures of two nodes or more are buckets: the signatures are summed up to the least
 and the greatest node before a shuffle, and joined back, so hot ones can be split.
-Buckets of at most ``FEW`` nodes are checked pair by pair.  Each node has a sketch, the
+The node that most buckets share is a bucket's pivot, and each other node is checked
+against it.  In buckets of at most ``FEW`` nodes, pairs of different components by then are
+checked too.  Each node has a sketch, the
 number of its elements in each of about half as many cells; the cells' differences
 bound the sets' difference from below, so most pairs fall without their texts.  In a
-larger bucket, the node that most buckets share is the pivot, and each node
-is checked against it.  Two nodes x and y of which
+larger bucket, two nodes x and y of which
 not both link with pivot c can only link if x and y differ from c in common elements:
 of the differences x ^ c and y ^ c, at least (|x ^ c| + |y ^ c| - q (|x| + |y|)) / 2,
 with q = (100 - percent) / (100 + percent).  So, as in a prefix filter, some element
 is among the first few of both differences, those that c lacks coming first; such
-elements are the next buckets, without the pivot, so they get smaller until all are
-small.  No link that joins two components is missed.
+elements are the next buckets, without the pivot.  Each round drops buckets whose nodes
+are in one component by now, and takes buckets of up to four times as many nodes pair by
+pair as the last one, so rounds grow with the logarithm of the largest bucket.  No link
+that joins two components is missed.
 
 Components alone are what the pipeline needs.  ``op6_jaccard`` counts links as well: two
 sets that link lie in one component, so the classes of each component are compared with
@@ -45,6 +48,8 @@ a row each.  Extra columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -264,6 +269,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def grouped(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members with the component that their node is in by now."""
+    of = labels.select(F.col("node").alias("of_node"), "component")
+    return members.join(of.hint("merge"), F.col("node") == F.col("of_node"), "left").drop("of_node").withColumn("component", F.coalesce("component", "node"))
+
+
 class Joined:
     """The stored tables of a join, all keyed by node (k1): rows, nodes in buckets with their texts, and labels."""
 
@@ -290,34 +301,41 @@ def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Joined:
     rows = stored(sets.select("doc_id", "mark", "n_shingles", "k1", "k2"))
     discard(sets)
     members = buckets.select("signature", "node", F.lit(1).alias("of"), F.lit(True).alias("all"))
-    found, spent = [], [buckets]
+    found, spent, labels, few = [], [buckets], None, FEW
     while True:
         size = members.groupBy("signature").agg(F.count("*").alias("n"), F.sum("of").alias("n1"), F.first("all").alias("both")).where("n > 1 and (both or (n1 > 0 and n1 < n))").select("signature", "n")
-        now = stored(members.join(size.hint("merge"), "signature"))
+        now = members.join(size.hint("merge"), "signature")
+        if labels is not None:  # buckets within one component by now have nothing to add
+            spent.append(now := stored(now))
+            now = grouped(now, labels)
+            apart = now.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
+            now = now.join(apart.hint("merge"), "signature").drop("component")
+        often = now.groupBy("node").agg(F.count("*").alias("often"))
+        pivots = now.join(often.hint("merge"), "node").groupBy("signature").agg(F.max_by("node", F.struct("often", "node")).alias("pivot"))
+        now = stored(now.join(pivots.hint("merge"), "signature"))
         discard(*spent)
-        a, b = (now.where(F.col("n") <= FEW).select("signature", F.col("node").alias(x), F.col("of").alias("of" + x), F.col("all").alias("all" + x)) for x in "ab")
-        pairs = a.join(b.hint("merge"), "signature").where("a < b and (alla or ofa <> ofb)").select("a", "b").distinct()
+        stars = stored(now.where("node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max(F.col("n") > few).alias("large")))
+        seen = stored(against_pivots(stars.where("large").select("a", "b"), nodes, k, percent))
+        found += [stored(checked(stars.where("not large").select("a", "b"), nodes, k, percent)), stored(seen.where("linked").select("a", "b"))]
+        more = not stars.where("large").isEmpty()
+        discard(stars)
+        if labels is not None:
+            discard(labels)
+        labels = components(reduce(DataFrame.union, found))
+        a, b = (grouped(now.where((F.col("n") <= few) & (F.col("node") != F.col("pivot"))), labels).select("signature", F.col("node").alias(x), F.col("of").alias("of" + x), F.col("all").alias("all" + x), F.col("component").alias("c" + x)) for x in "ab")
+        pairs = a.join(b.hint("merge"), "signature").where("a < b and ca <> cb and (alla or ofa <> ofb)").select("a", "b").distinct()
         found.append(stored(checked(pairs, nodes, k, percent)))
-        large = now.where(F.col("n") > FEW)
-        if large.isEmpty():
-            discard(now)
-            break
-        often = large.groupBy("node").agg(F.count("*").alias("often"))
-        pivots = large.join(often.hint("merge"), "node").groupBy("signature").agg(F.max_by("node", F.struct("often", "node")).alias("pivot"))
-        pairs = large.join(pivots.hint("merge"), "signature").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        seen = stored(against_pivots(pairs, nodes, k, percent))
         discard(now)
-        found.append(stored(seen.where("linked").select("a", "b")))
-        spent = [seen]
+        spent, few = [seen], 4 * few
+        if not more:
+            discard(seen, labels)
+            break
         near = seen.select(F.explode("near").alias("signature"), F.col("a").alias("node"), (~F.col("linked")).cast("int").alias("of"), F.lit(False).alias("all"))
         far = seen.where("not linked").select(F.explode("far").alias("signature"), F.col("a").alias("node"), F.lit(1).alias("of"), F.lit(True).alias("all"))
         members = near.unionByName(far).distinct()
     doubled = rows.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least < most").select("doc_id", "least")
     same = rows.where("n_shingles > 0").join(doubled, "doc_id").where("k1 <> least").select(F.col("k1").alias("a"), F.col("least").alias("b"))
-    links = same
-    for f in found:
-        links = links.union(f)
-    labels = components(links)
+    labels = components(reduce(DataFrame.union, [same, *found]))
     discard(*found)
     return Joined(rows, nodes, labels)
 

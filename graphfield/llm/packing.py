@@ -2,11 +2,14 @@
 
 A document is tokenised once, in the scan, and cut at multiples of the sequence
 length.  Its full pieces are sequences as they stand; the rest goes to bins.
-Groups are dealt by a hash of the row, hold about ``group_docs`` documents at any
-corpus size, and are packed apart, so no state is shared and nothing is
-collected.  Only piece descriptions (no ids) are shuffled.
-
-Nulls count as empty texts; an empty text is one piece, the closing id.  A null
+Groups are dealt by a hash of the piece and its place in the scan (a task that is run
+again reads its rows in the same order), so equal rows spread too; they hold about
+``group_docs`` documents at any corpus size, and are packed apart, so no state is shared
+and nothing is collected.  Only piece descriptions (no ids) are shuffled.
+
+Nulls count as empty texts; an empty text is one piece, the closing id.  A text of any
+length is tokenised whole, chunk by chunk between white space.  Pieces of equal size
+(ties) go by row hash, doc_id and start.  A null
 doc_id is kept and packed like any other.  Repeated rows are packed once each.
 Extra columns are ignored.  An empty table gives no pieces.
 """
@@ -139,7 +142,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE
     """One row for each piece, with its sequence and the offset there."""
     cut = pieces(docs, tokenizer, sequence, end_id, with_ids)
     groups = max(1, -(-docs.count() // group_docs))
-    cut = cut.withColumn("bunch", F.pmod(F.xxhash64("row", "doc_id"), F.lit(groups)))
+    cut = cut.withColumn("bunch", F.pmod(F.xxhash64("row", "doc_id", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row", "doc_id", "start"], ascending=[False, True, True, True], kind="stable")

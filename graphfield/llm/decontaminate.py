@@ -10,11 +10,14 @@ suffix position kept.  All phrases of a block take each backward-search step
 together; occurrences are located by walking the last-to-first map to a sampled
 position, and their spans are merged in the document.
 
-Phrases come in blocks of at most ``block_bytes`` of item text, so what the
-driver holds and broadcasts at a time is bounded, however large the benchmark is;
-each block is a broadcast of its own.  Documents aren't shuffled.
-
-Null texts, and items that are null or without words, have no words and no hits.
+Phrases come in blocks of about ``block_bytes`` of item text, each a broadcast of its
+own.  The driver makes one block at a time, and a task holds one at a time, for which it
+indexes its shard, and drops it before the next; blocks wait on executors' disks.
+Documents aren't shuffled.
+
+Null texts, and items that are null or without words, have no words and no hits.  Texts
+may be of any length; a shard holds at least one whole text.  Items with the same window
+(ties) all have it.
 Items with a null id are ignored.  An item given twice counts once.  A document
 row given twice gives two rows.  Extra columns are ignored.  With an empty
 benchmark nothing is hit.
@@ -196,6 +199,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def drop(b) -> None:
+    """Forget a broadcast's value in this process; its file stays, and is read when the value is asked for again."""
+    if getattr(b, "_path", None) is not None:
+        b.__dict__.pop("_value", None)
+
+
 def _hits(texts: list[bytes | None], sent: list) -> tuple[list[list[bytes]], list[list[tuple[int, int]]], list[set[str]]]:
     docs = [words_of(t) for t in texts]
     spans: list[list] = [[] for _ in docs]
@@ -204,12 +213,18 @@ def _hits(texts: list[bytes | None], sent: list) -> tuple[list[list[bytes]], lis
         for d, a, e, of in shard_hits(docs, b.value):
             spans[d].append((a, e))
             items[d] |= of
+        if len(sent) > 1:
+            drop(b)
     return docs, [merged(s) for s in spans], items
 
 
 def _sent(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list:
     sc = ready(docs.sparkSession).sparkContext
-    return [sc.broadcast(b) for b in blocks(benchmark, window, block_bytes)]
+    sent = []
+    for block in blocks(benchmark, window, block_bytes):
+        sent.append(sc.broadcast(block))
+        drop(sent[-1])
+    return sent
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

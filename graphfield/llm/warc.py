@@ -13,6 +13,10 @@ they are; parts of segmented ones are grouped by origin identifier, ordered by
 segment number, checked for gaps and against the total length, joined, and their
 chunked framing decoded; digests are checked against the payload.
 
+Payloads are equal if their SHA-1 digests are.  A page may be of any length; it is held
+whole in a task, and its parts are joined in one.  Of pages with one payload and the
+smallest page_id (ties) all are responses.
+
 A null html counts as empty, a null url as none.  A null page_id is kept; it comes
 after all others in the choice of the response, and can't be referred to, so where
 all are null each is a response.  Rows with the response's own page_id and payload
@@ -89,7 +93,10 @@ def write(pages: DataFrame, segment: int = SEGMENT, archive: int = ARCHIVE, revi
     """A table of archives (column warc), one row each, not yet stored."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
     first = p.where(F.length("html") >= revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    p = p.join(first, "sha", "left").select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") > F.col("first"), F.col("page_id").isNull()), F.col("first")).alias("refers_to"))
+    # first the ids alone meet, whose hot payloads Spark can split; html is then dealt by page and payload
+    later = F.coalesce(F.col("page_id") > F.col("first"), F.col("page_id").isNull())
+    refers = p.select("page_id", "sha").distinct().join(first, "sha").where(later).select(F.col("page_id").alias("own"), F.col("sha").alias("own_sha"), F.col("first").alias("refers_to"))
+    p = p.join(refers, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("sha") == F.col("own_sha")), "left").select("page_id", "url", "html", "refers_to")
 
     def make():
         part = TaskContext.get().partitionId()

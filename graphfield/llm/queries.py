@@ -6,6 +6,7 @@ from .decontaminate import op3_decontaminate
 from .html_tree import op10_html
 from .jaccard_join import op6_jaccard
 from .language import op4_language
+from .oracles import ORACLES
 from .packing import op7_packing
 from .pii import op1_pii
 from .quality_model import op2_quality
@@ -14,5 +15,4 @@ from .substrings import op9_substrings
 from .warc import op8_warc
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_decontaminate, op4_language, op5_rules, op6_jaccard, op7_packing, op8_warc, op9_substrings, op10_html)}
-#: Learned models, tokenizers, digests of spans and similarity components aren't expressible in SQL; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]  # learned models, tokenizers and archives aren't expressible in SQL; tests/llm holds them against brute force

@@ -371,7 +371,7 @@ def test_quality(docs, empty):
     got = by_id(quality_model.score(docs))
     assert got[64]["score"] == 0 and not got[63]["kept"] and 0 <= got[1]["score"] <= 1
     assert quality_model.score(empty).count() == 0
-    good, bad = (1, 1, 1, 1, 1, 1, 1, 1), (1, -1, 0, -1, -1, 1, -1, 0)
+    good, bad = (1, 1, 0, 0, 1, 0, 1, 0, 0, 1, 0, 0, 1), (1, -1, -1, 0, -1, -1, 1, 0, 0, 1, 0, 0, 0)
     table, prior = quality_model.fit_labellers(Counter({good: 90, bad: 10}))
     p = quality_model.posterior(np.array([good, bad]), table, prior)
     assert p[0] > 0.9 and p[1] < 0.1 and 0.8 < prior < 0.95
@@ -381,7 +381,7 @@ def test_quality_counts_every_document(spark):
     """The labellers' tables come from all vote patterns, however small the scorer's sample."""
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)) + ".") for i in range(400)] + [(400 + i, "## " * 30 + "!") for i in range(3)] + [(403, ""), (404, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = Counter(quality_model.votes(quality_model.measures(t.encode(), t.encode().split())) for _, t in rows if t is not None)
+    want = Counter(quality_model.votes(quality_model.measures(t.encode(), t.encode().split(), Ids().of(t.encode().split()))) for _, t in rows if t is not None)
     assert quality_model.patterns(docs) == want and len(want) == 3
     table, prior = quality_model.fit_labellers(want)
     got = quality_model.learn(docs, sample_docs=40)

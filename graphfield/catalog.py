@@ -175,7 +175,10 @@ for _v in ("ue", "oc", "sn"):
     for _p in ("normalized", "unnormalized"):
         for _m in MODES:
             add(f"nll_{_v}_{_p}_{_m}", lambda s, d, v=_v, k=_p, m=_m: (lambda p: one(s, nll=schur.nll(p.prior.kind, p.arrays, THETA, p.rho_eps)))(problem(s, d, v, k, m)), nll_sql(_v, _p, _m))
-add("nll_event_user", Q["nll_ue_normalized_raw"], ORACLES["nll_ue_normalized_raw"])
+# From tables alone: the Schur complement by a join, and the likelihood on it.
+add("nll_event_user", lambda s, d: (lambda p: one(s, nll=schur.distributed_nll(p, THETA)))(problem(s, d, "ue")), ORACLES["nll_ue_normalized_raw"])
+for _w, _post in (("q", False), ("m", True)):
+    add(f"schur_pairs_{_w}", lambda s, d, post=_post: (lambda p: schur.schur_pairs(p, THETA, post).select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), r6("value").alias("value")))(problem(s, d, "oc")), base("oc") + matrix_sql("normalized") + eliminated(5, _w) + f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(v, 6) + 0.0 AS value FROM {_w}0 WHERE j >= i")
 GRID = [-0.6, -0.3, 0.0, 0.3, 0.6]
 
 
@@ -251,11 +254,26 @@ add(
     lambda s, d: (lambda p: decompose.posterior_covariance(p, THETA, "scaled").block(row_firms=[r["id"] for r in p.firms.orderBy("idx").collect()], col_workers=[1, 2, 3]).to_df(s).select("row_id", "col_id", r6("value").alias("value")))(problem(s, d, "sn")),
     base("sn") + matrix_sql("normalized") + eliminated(5, "m") + inverse_sql(5, "m") + blocks_sql("m") + "SELECT CAST(pf.firm AS VARCHAR) AS row_id, CAST(sc.worker AS VARCHAR) AS col_id, round(-sc.v, 6) + 0.0 AS value FROM sc JOIN pf ON pf.i = sc.i WHERE sc.worker IN (1, 2, 3)",
 )
-add("singular_value", lambda s, d: one(s, value=precision.leading_singular_value(problem(s, d, "oc").arrays, None)))
+STEPS = 40
+POWER_SQL = ", v0 AS MATERIALIZED (SELECT worker, 1.0 / sqrt(count(*) OVER ()) AS x FROM wn)" + "".join(f", u{k} AS MATERIALIZED (SELECT firm, sum(a * x) AS y FROM e JOIN v{k} USING (worker) GROUP BY 1), z{k} AS MATERIALIZED (SELECT worker, sum(a * y) AS x FROM e JOIN u{k} USING (firm) GROUP BY 1), v{k + 1} AS MATERIALIZED (SELECT worker, x / (SELECT sqrt(sum(x ** 2)) FROM z{k}) AS x FROM z{k})" for k in range(STEPS)) + f", s1 AS MATERIALIZED (SELECT sqrt(sqrt(sum(x ** 2))) AS s FROM z{STEPS - 1})"
+add("singular_value", lambda s, d: one(s, value=precision.leading_singular_value(problem(s, d, "oc").arrays, None)), base("oc") + POWER_SQL + " SELECT round(s, 6) AS value FROM s1")
+add("singular_value_tables", lambda s, d: one(s, value=precision.distributed_singular_value(problem(s, d, "oc"))), ORACLES["singular_value"])
+for _w, _post in (("q", False), ("m", True)):
+    add(
+        f"edges_{_w}_spectral",
+        lambda s, d, post=_post: (lambda p: precision.off_diagonal(p, THETA, post).join(p.firms.select(F.col("idx").alias("f"), F.col("id").alias("firm")), "f").join(p.workers.select(F.col("idx").alias("w"), F.col("id").alias("worker")), "w").select("firm", "worker", r6(F.col("value") * 1.7).alias("value")))(problem(s, d, "oc", SpectralPrior())),
+        base("oc") + POWER_SQL + f" SELECT firm, worker, round(1.7 * ({-THETA.rho!r} / {THETA.sigma_a * THETA.sigma_z!r} * a / s" + (f" + {THETA.lam!r} * wt" if _post else "") + "), 6) + 0.0 AS value FROM e, s1",
+    )
+    add(f"diagonal_{_w}_spectral", lambda s, d, post=_post: (lambda p: _ids(p, precision.diagonal(p, THETA, post)))(problem(s, d, "oc", SpectralPrior())), base("oc") + matrix_sql("spectral") + NODE_VALUES.format(f=_w, w=_w))
+add(
+    "pcg_mode_oc",
+    lambda s, d: (lambda p: (lambda x: (lambda m: (lambda v: _ids(p, decompose.by_node(p, v, s), "mode"))(stochastic.pcg(m.__matmul__, THETA.lam * np.concatenate([x.bf, x.bw]), m.diagonal, 1e-12)[0]))(precision.posterior_matrix("normalized", x, THETA)))(p.arrays))(problem(s, d, "oc")),
+    ORACLES["posterior_mode_oc"],
+)
 add("forest_logdet", lambda s, d: (lambda x: one(s, logdet=schur.Factor(precision.core("variance_stable", x, 0.6)).logdet / len(x.f)))(problem(s, d, "co").arrays), base("co") + "SELECT round(((SELECT count(*) FROM fn) + (SELECT count(*) FROM wn) - count(*)) * ln(1 - 0.36) / count(*), 6) AS logdet FROM e")
 
 
-# Graphs: suppliers and orders of the whole lineitem (no SQL: recursion is too slow), and of every 200th order, for SQL.
+# Graphs: suppliers and orders of the whole lineitem.  SQL spreads labels, peels and walks a fixed number of rounds, more than these graphs need.
 
 
 def _lines(s, d):
@@ -266,24 +284,14 @@ def _whole(s, d):
     return graph.adjacency(_lines(s, d))
 
 
-add("components_whole", lambda s, d: graph.components(_whole(s, d)).select(F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component")))
-add("circuit_rank_whole", lambda s, d: (lambda r: one(s, rank=int(r), forest=r == 0))(graph.circuit_rank(_whole(s, d))))
-add("two_core_whole", lambda s, d: graph.two_core(_whole(s, d)).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
-add("distance_to_core_whole", lambda s, d: (lambda a: graph.distance_to_core(a, graph.two_core(a)).select(F.col("node").cast("long").alias("node"), F.col("distance").cast("long").alias("distance")))(_whole(s, d)))
-
-
-def _os(s, d, step=40):
-    e = s.read.parquet(f"{d}/lineitem.parquet").where(F.col("l_orderkey") % step == 0).select(F.col("l_suppkey").cast("long").alias("f"), F.col("l_orderkey").cast("long").alias("w")).distinct()
-    return graph.adjacency(e)
-
-
-OS = "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS f, l_orderkey AS w FROM lineitem WHERE l_orderkey % {n} = 0), adj AS MATERIALIZED (SELECT 2 * f AS u, 2 * w + 1 AS v FROM e UNION ALL SELECT 2 * w + 1, 2 * f FROM e)"
-REACH = ", reach(node, c) AS (SELECT u, u FROM adj UNION SELECT adj.v, reach.c FROM reach JOIN adj ON adj.u = reach.node), labels AS (SELECT node, min(c) AS component FROM reach GROUP BY 1)"
-PEEL = "".join(f", p{k} AS MATERIALIZED (SELECT * FROM {x} WHERE u IN (SELECT u FROM {x} GROUP BY 1 HAVING count(*) >= 2) AND v IN (SELECT u FROM {x} GROUP BY 1 HAVING count(*) >= 2))" for k, x in enumerate(["adj", *(f"p{i}" for i in range(9))]))
-add("components", lambda s, d: graph.components(_os(s, d, 200)).select(F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component")), OS.format(n=200) + REACH + " SELECT CAST(node AS BIGINT) AS node, CAST(component AS BIGINT) AS component FROM labels")
-add("circuit_rank", lambda s, d: (lambda r: one(s, rank=int(r), forest=r == 0))(graph.circuit_rank(_os(s, d, 200))), OS.format(n=200) + REACH + " SELECT CAST(r AS BIGINT) AS rank, r = 0 AS forest FROM (SELECT (SELECT count(*) FROM e) - count(*) + count(DISTINCT component) AS r FROM labels)")
-add("two_core", lambda s, d: graph.two_core(_os(s, d, 200)).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), OS.format(n=200) + PEEL + " SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v FROM p9")
-add("distance_to_core", lambda s, d: (lambda a: graph.distance_to_core(a, graph.two_core(a)).select(F.col("node").cast("long").alias("node"), F.col("distance").cast("long").alias("distance")))(_os(s, d, 200)), OS.format(n=200) + PEEL + ", walk(node, k) AS (SELECT DISTINCT u, 0 FROM p9 UNION SELECT adj.v, walk.k + 1 FROM walk JOIN adj ON adj.u = walk.node WHERE walk.k < 12) SELECT CAST(a.u AS BIGINT) AS node, CAST(coalesce(min(walk.k), -1) AS BIGINT) AS distance FROM (SELECT DISTINCT u FROM adj) a LEFT JOIN walk ON walk.node = a.u GROUP BY 1")
+ROUNDS = 12
+OS = "WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_suppkey AS f, l_orderkey AS w FROM lineitem), adj AS MATERIALIZED (SELECT 2 * f AS u, 2 * w + 1 AS v FROM e UNION ALL SELECT 2 * w + 1, 2 * f FROM e)"
+SPREAD = ", l0 AS MATERIALIZED (SELECT u AS node, min(least(u, v)) AS c FROM adj GROUP BY 1)" + "".join(f", l{k + 1} AS MATERIALIZED (SELECT adj.u AS node, least(min(o.c), min(n.c)) AS c FROM adj JOIN l{k} n ON n.node = adj.v JOIN l{k} o ON o.node = adj.u GROUP BY 1)" for k in range(ROUNDS)) + f", labels AS (SELECT node, c AS component FROM l{ROUNDS})"
+PEEL = "".join(f", p{k} AS MATERIALIZED (SELECT * FROM {x} WHERE u IN (SELECT u FROM {x} GROUP BY 1 HAVING count(*) >= 2) AND v IN (SELECT u FROM {x} GROUP BY 1 HAVING count(*) >= 2))" for k, x in enumerate(["adj", *(f"p{i}" for i in range(ROUNDS))]))
+add("components", lambda s, d: graph.components(_whole(s, d)).select(F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component")), OS + SPREAD + " SELECT CAST(node AS BIGINT) AS node, CAST(component AS BIGINT) AS component FROM labels")
+add("circuit_rank", lambda s, d: (lambda r: one(s, rank=int(r), forest=r == 0))(graph.circuit_rank(_whole(s, d))), OS + SPREAD + " SELECT CAST(r AS BIGINT) AS rank, r = 0 AS forest FROM (SELECT (SELECT count(*) FROM e) - count(*) + count(DISTINCT component) AS r FROM labels)")
+add("two_core", lambda s, d: graph.two_core(_whole(s, d)).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), OS + PEEL + f" SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v FROM p{ROUNDS}")
+add("distance_to_core", lambda s, d: (lambda a: graph.distance_to_core(a, graph.two_core(a)).select(F.col("node").cast("long").alias("node"), F.col("distance").cast("long").alias("distance")))(_whole(s, d)), OS + PEEL + f", walk(node, k) AS (SELECT DISTINCT u, 0 FROM p{ROUNDS} UNION SELECT adj.v, walk.k + 1 FROM walk JOIN adj ON adj.u = walk.node WHERE walk.k < {ROUNDS}) SELECT CAST(a.u AS BIGINT) AS node, CAST(coalesce(min(walk.k), -1) AS BIGINT) AS distance FROM (SELECT DISTINCT u FROM adj) a LEFT JOIN walk ON walk.node = a.u GROUP BY 1")
 
 
 def _nb(s, d):
@@ -294,7 +302,7 @@ def _nb(s, d):
 add("nb_spectrum", _nb)
 add("feasibility", lambda s, d: (lambda r: one(s, **{k: (float(v) if isinstance(v, float) else v) for k, v in r.items()}))(graph.feasibility(problem(s, d, "ue", VarianceStablePrior("auto")))))
 add("pcg_mode", lambda s, d: (lambda p: (lambda x, m: (lambda sol: one(s, ok=bool(sol[1]), norm=float(np.linalg.norm(sol[0]))))(stochastic.pcg(m.__matmul__, THETA.lam * np.concatenate([x.bf, x.bw]), m.diagonal, 1e-10)))(p.arrays, precision.posterior_matrix("normalized", p.arrays, THETA)))(problem(s, d, "sp")))
-add("slq_nll", lambda s, d: (lambda p: one(s, nll=float(stochastic.stochastic_nll("normalized", p.arrays, THETA, HutchSLQ()))))(problem(s, d, "sp")))
+add("slq_nll", lambda s, d: (lambda p: one(s, nll=float(stochastic.stochastic_nll("normalized", p.arrays, THETA, HutchSLQ(), spark=s))))(problem(s, d, "sp")))
 add("hutchinson_prior", lambda s, d: decompose.prior_decomposition(problem(s, d, "oc"), THETA, probes=200, spark=s).to_df(s))
 add("fit_exact", lambda s, d: fit(*(lambda x: (x[0],))(load(s, d, "ue")), fix_rho=0.25, **load(s, d, "ue")[1]).to_df(s))
 add("fit_stochastic", lambda s, d: solve(problem(s, d, "sn", SpectralPrior()), HutchSLQ(), fix_rho=0.25).to_df(s))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .prepare import Arrays, Problem
+from .spec import SpectralPrior
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,28 @@ def leading_singular_value(x: Arrays, seed: int | None = 12345, maxiter: int = 2
     return now
 
 
+def sigma_1(p: Problem) -> float | None:
+    """The leading singular value under the problem's own seed, for the spectral prior."""
+    return leading_singular_value(p.arrays, p.prior.seed) if isinstance(p.prior, SpectralPrior) else None
+
+
+def distributed_singular_value(p: Problem, maxiter: int = 200, tol: float = 1e-10) -> float:
+    """The same from tables, from all ones: each step is two joins and sums, and one number reaches the driver."""
+    e = p.edges.select("f", "w", "a").where("a <> 0")
+    v, old, now = p.workers.select(F.col("idx").alias("w"), F.lit(1.0 / math.sqrt(max(1, p.n_workers))).alias("x")), 0.0, 0.0
+    for _ in range(maxiter):
+        u = e.join(v, "w").groupBy("f").agg(F.sum(F.col("a") * F.col("x")).alias("y"))
+        new = e.join(u, "f").groupBy("w").agg(F.sum(F.col("a") * F.col("y")).alias("x")).checkpoint()
+        norm = math.sqrt(new.agg(F.sum(F.col("x") ** 2)).first()[0] or 0.0)
+        if not norm:
+            return 0.0
+        v, now = new.withColumn("x", F.col("x") / norm), math.sqrt(norm)
+        if abs(now - old) <= tol * max(1.0, now):
+            break
+        old = now
+    return now
+
+
 class Matrix:
     """A symmetric matrix with diagonal firm and worker blocks: diagonals p, d and one number for each edge."""
 
@@ -55,6 +79,10 @@ class Matrix:
         x, a, z = self.x, v[: self.x.nf], v[self.x.nf :]
         return np.concatenate([self.p * a + np.bincount(x.f, self.c * z[x.w], x.nf), self.d * z + np.bincount(x.w, self.c * a[x.f], x.nw)])
 
+    @property
+    def nbytes(self) -> int:
+        return self.x.nbytes + self.p.nbytes + self.d.nbytes + self.c.nbytes
+
     @property
     def diagonal(self) -> np.ndarray:
         return np.concatenate([self.p, self.d])
@@ -122,7 +150,7 @@ def off_diagonal(p: Problem, t: Theta, posterior: bool = False, sigma1: float |
         of = lambda side, key: n.where(F.col("side") == side).select(F.col("idx").alias(key), F.col("scale").alias("s" + key))
         e = e.join(of("firm", "f"), "f").join(of("worker", "w"), "w").withColumn("b", F.col("a") * F.col("sf") * F.col("sw"))
     elif p.prior.kind == "spectral":
-        s = leading_singular_value(p.arrays) if sigma1 is None else sigma1
+        s = sigma_1(p) if sigma1 is None else sigma1
         e = e.withColumn("b", F.col("a") / s)
     else:
         e = e.withColumn("b", F.col("a"))

@@ -16,9 +16,13 @@ from .spec import NormalizedPrior, Prior, VarianceStablePrior, Weighting
 DRIVER_EDGES = 50_000_000
 
 
+def is_finite():
+    return F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") != float("inf"))
+
+
 def finite(df: DataFrame) -> DataFrame:
     """Rows whose outcome is a number: no null, NaN or infinity."""
-    return df.where(F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") != float("inf")))
+    return df.where(is_finite())
 
 
 def working(df: DataFrame, y: str = "y", firm: str = "firm_id", worker: str = "worker_id") -> DataFrame:
@@ -112,11 +116,30 @@ class Problem:
         """The same data under another within-edge correlation of the noise."""
         return replace(self, rho_eps=r, edges=self.edges.withColumn("wt", effective_weight(F.col("T"), F.lit(r))))
 
+    def weights(self) -> DataFrame:
+        """(f, w, value): the prior's edge weights, firms in rows."""
+        return self.edges.select("f", "w", F.col("a").alias("value"))
+
+    def weights_transposed(self) -> DataFrame:
+        """(w, f, value): the same, workers in rows."""
+        return self.edges.select("w", "f", F.col("a").alias("value"))
+
+    def worker_counts(self) -> DataFrame:
+        """(w, value): observation weight of each worker."""
+        return self.edges.groupBy("w").agg(F.sum("wt").alias("value"))
+
+    def released(self) -> Problem:
+        """Drop what prepare() keeps in memory."""
+        for d in (self.edges, self.firms, self.workers):
+            d.unpersist()
+        return self
+
     def metadata(self) -> DataFrame:
         e = self.edges
         degree = lambda s: e.groupBy(s).agg(F.sum("a").alias("d")).agg(F.max("d").alias("m"))
         return (
-            e.agg(F.count("*").alias("unique_edges"), (F.sum("T") - F.count("*")).alias("duplicate_rows"), F.avg("T").alias("mean_edge_count"), F.max("T").alias("max_edge_count"), F.sum("a").alias("total_prior_weight"))
+            e.agg(F.count("*").alias("unique_edges"), (F.sum("T") - F.count("*")).alias("duplicate_rows"), F.avg("T").alias("mean_edge_count"), F.max("T").alias("max_edge_count"), F.sum("a").alias("total_prior_weight"),
+                  F.sum("wt").alias("total_weight"), F.avg("wt").alias("mean_weight"), F.max("wt").alias("max_weight"))
             .crossJoin(degree("f").withColumnRenamed("m", "max_firm_degree"))
             .crossJoin(degree("w").withColumnRenamed("m", "max_worker_degree"))
         )  # three one-row aggregates side by side
@@ -136,6 +159,19 @@ class Arrays:
             raise ValueError("a node has no prior degree")
         self.weigh(p.rho_eps)
 
+    @property
+    def nbytes(self) -> int:
+        return sum(v.nbytes for v in vars(self).values() if isinstance(v, np.ndarray))
+
+    def sent(self, spark):
+        """These arrays as a broadcast, made once."""
+        if self.__dict__.get("_sent") is None:
+            self._sent = spark.sparkContext.broadcast(self)
+        return self._sent
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "_sent"}
+
     def weigh(self, rho_eps: float | None) -> Arrays:
         self.wt = self.t if self.mode == "raw" else np.ones_like(self.t) if self.mode == "edge" else effective_weight(self.t, rho_eps)
         self.cf, self.cw = np.bincount(self.f, self.wt, self.nf), np.bincount(self.w, self.wt, self.nw)
@@ -163,15 +199,17 @@ def prepare(df: DataFrame, y: str = "y", firm: str = "firm_id", worker: str = "w
         if work.isEmpty():
             raise ValueError("nothing is left after the degree filter")
     clean = finite(work)
-    if on_missing == "error" and not work.exceptAll(clean).isEmpty():
+    if on_missing == "error" and not work.where(~F.coalesce(is_finite(), F.lit(False))).limit(1).isEmpty():
         raise ValueError("the outcome has missing or non-finite values")
-    n, mean, std = clean.agg(F.count("*"), F.avg("y"), F.stddev_samp("y")).first()
+    edges = collapse(clean).persist()  # the table is read once; what follows comes from its edges
+    n, mean = edges.agg(F.coalesce(F.sum("T"), F.lit(0)), F.sum(F.col("T") * F.col("y_mean")) / F.sum("T")).first()
     if not n:
         raise ValueError("nothing is left after missing outcomes are dropped")
+    around = edges.agg(F.sum(F.col("ssw") + F.col("T") * (F.col("y_mean") - mean) ** 2)).first()[0]
+    std = math.sqrt(around / (n - 1)) if n > 1 else None
     if standardize and not (std and math.isfinite(std)):
         raise ValueError("the outcome has no spread")
     mean, std = (mean, std) if standardize else (0.0, 1.0)
-    edges = collapse(clean).persist()
     firms, workers = dense_index(edges, "firm").persist(), dense_index(edges, "worker").persist()
     r = None if weighting.rho_eps is None else 0.5 if weighting.rho_eps == "estimate" else float(weighting.rho_eps)
     wt = {"raw": F.col("T").cast("double"), "edge": F.lit(1.0), "effective": effective_weight(F.col("T"), F.lit(r))}[weighting.observations]

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .precision import Matrix, Theta, posterior_matrix, prior_matrix
-from .prepare import Arrays
+from .precision import Matrix, Theta, diagonal, nodes, off_diagonal, posterior_matrix, prior_matrix
+from .prepare import Arrays, Problem
 
 PENALTY = 1e30
+#: Nodes of the smaller side, beyond which its dense Schur complement (8 bytes an entry) isn't made.
+MOST_SMALL = 20_000
 
 
 class NotPositive(Exception):
@@ -27,6 +33,8 @@ class Factor:
         self.ns, self.nl = len(self.ps), len(self.dl)
         if not (np.isfinite(self.dl).all() and (self.dl > 0).all()):
             raise NotPositive
+        if self.ns > MOST_SMALL:
+            raise MemoryError(f"the smaller side has {self.ns} nodes, and its Schur complement would be dense; use the stochastic solver above {MOST_SMALL}")
         order = np.argsort(self.l, kind="stable")
         self.es, self.el, self.ec, self.order = self.s[order], self.l[order], m.c[order], order
         self.cut = np.searchsorted(self.el, np.arange(0, self.nl + self.block, self.block))
@@ -50,15 +58,22 @@ class Factor:
     def logdet(self) -> float:
         return float(np.log(self.dl).sum() + 2 * np.log(np.diag(self.chol)).sum())
 
+    @cached_property
+    def lower(self) -> np.ndarray:
+        """The inverse of the Cholesky factor, made once for all right-hand sides."""
+        return np.linalg.inv(self.chol)
+
     def _small(self, b: np.ndarray) -> np.ndarray:
-        return np.linalg.solve(self.chol.T, np.linalg.solve(self.chol, b))
+        return self.lower.T @ (self.lower @ b)
 
     def solve(self, b: np.ndarray) -> np.ndarray:
-        """For a vector, firms first."""
+        """For a vector, firms first, or for the columns of a matrix."""
         bf, bw = b[: self.m.x.nf], b[self.m.x.nf :]
         bs, bl = (bw, bf) if self.flip else (bf, bw)
-        xs = self._small(bs - np.bincount(self.es, self.ec * (bl / self.dl)[self.el], self.ns))
-        xl = (bl - np.bincount(self.el, self.ec * xs[self.es], self.nl)) / self.dl
+        to = lambda at, v, n: np.bincount(at, v, n) if v.ndim == 1 else np.column_stack([np.bincount(at, c, n) for c in v.T])
+        by = lambda d, v: d if v.ndim == 1 else d[:, None]
+        xs = self._small(bs - to(self.es, by(self.ec, b) * (bl / by(self.dl, b))[self.el], self.ns))
+        xl = (bl - to(self.el, by(self.ec, b) * xs[self.es], self.nl)) / by(self.dl, b)
         return np.concatenate([xl, xs] if self.flip else [xs, xl])
 
     def inverse_parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,3 +110,74 @@ def within_term(x: Arrays, t: Theta, rho_eps: float | None) -> float:
 def assembled(x: Arrays, t: Theta, rho_eps: float | None, logdets: float, quad: float) -> float:
     v = 0.5 * (2 * x.k * np.log(t.sigma_eps) - x.log_weights + logdets + t.lam * x.ydot - t.lam**2 * quad + within_term(x, t, rho_eps))
     return float(v) if np.isfinite(v) else PENALTY
+
+
+# The same where no driver holds the edges: the larger side is eliminated by a join.
+
+
+def sides(p: Problem) -> tuple[str, str, str, str]:
+    """The smaller side and the larger one, each by its name and its column of edges."""
+    return ("worker", "w", "firm", "f") if p.n_firms > p.n_workers else ("firm", "f", "worker", "w")
+
+
+def schur_pairs(p: Problem, t: Theta, posterior: bool = False, sigma1: float | None = None) -> DataFrame:
+    """(i, j, value), i <= j: the Schur complement of the larger side, in indices of the smaller one.
+
+    Two edges that meet in a node of the larger side make a pair; sums are formed before
+    the shuffle, so it carries at most one row for each pair and task.
+    """
+    small, s, large, l = sides(p)
+    d = diagonal(p, t, posterior)
+    c = off_diagonal(p, t, posterior, sigma1).select(F.col(s).alias("i"), F.col(l).alias("l"), "value")
+    one = c.join(d.where(F.col("side") == large).select(F.col("idx").alias("l"), F.col("value").alias("d")), "l").select("l", "i", (F.col("value") / F.col("d")).alias("left"))
+    two = c.select("l", F.col("i").alias("j"), F.col("value").alias("right"))
+    met = one.join(two, "l").where("i <= j").groupBy("i", "j").agg((-F.sum(F.col("left") * F.col("right"))).alias("value"))
+    own = d.where(F.col("side") == small).select(F.col("idx").alias("i"), F.col("idx").alias("j"), "value")
+    return own.unionByName(met).groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
+def distributed_nll(p: Problem, t: Theta, sigma1: float | None = None) -> float:
+    """nll() from tables: only the smaller side's complement (``MOST_SMALL`` nodes at most) and its vector reach the driver."""
+    small, s, large, l = sides(p)
+    n = min(p.n_firms, p.n_workers)
+    if n > MOST_SMALL:
+        raise MemoryError(f"the smaller side has {n} nodes, and its Schur complement would be dense; use the stochastic solver above {MOST_SMALL}")
+    logdets, quad = 0.0, 0.0
+    b = nodes(p).select("side", "idx", F.col("projected").alias("b"))
+    for posterior, sign in ((False, -1), (True, 1)):
+        d = diagonal(p, t, posterior).where(F.col("side") == large)
+        least, logs = d.agg(F.min("value"), F.sum(F.log("value"))).first()
+        rows = schur_pairs(p, t, posterior, sigma1).toArrow()
+        i, j, v = (rows.column(c).to_numpy() for c in ("i", "j", "value"))
+        a = np.zeros((n, n))
+        a[i, j] = a[j, i] = v
+        if not least > 0:
+            return PENALTY
+        try:
+            chol = np.linalg.cholesky(a)
+        except np.linalg.LinAlgError:
+            return PENALTY
+        logdets += sign * (logs + 2 * float(np.log(np.diag(chol)).sum()))
+        if posterior:
+            bl = b.where(F.col("side") == large).select(F.col("idx").alias(l), "b").join(d.select(F.col("idx").alias(l), F.col("value").alias("d")), l)
+            quad = bl.agg(F.sum(F.col("b") ** 2 / F.col("d"))).first()[0]
+            left = off_diagonal(p, t, True, sigma1).join(bl, l).groupBy(F.col(s).alias("idx")).agg(F.sum(F.col("value") * F.col("b") / F.col("d")).alias("less"))
+            r = np.zeros(n)
+            for x in b.where(F.col("side") == small).join(left, "idx", "left").select("idx", (F.col("b") - F.coalesce("less", F.lit(0.0))).alias("r")).collect():
+                r[x["idx"]] = x["r"]
+            y = np.linalg.solve(chol, r)
+            quad += float(y @ y)
+    return assembled(Sums(p), t, p.rho_eps, logdets, quad)
+
+
+class Sums:
+    """What assembled() needs of a problem, summed by Spark."""
+
+    def __init__(self, p: Problem):
+        e, self.mode = p.edges, p.weighting.observations
+        raw, effective = self.mode == "raw", self.mode == "effective"
+        row = e.agg(F.sum(F.col("wt") * F.col("ybar") ** 2), F.sum("ssw"), F.sum("T"), F.count("*"), F.sum(F.log("wt"))).first()
+        self.ydot = row[0] + (row[1] if raw else 0.0)
+        self.k = float(row[2]) if raw else row[3]
+        self.within_ss, self.within_df = (row[1], float(row[2] - row[3])) if effective else (0.0, 0.0)
+        self.log_weights = row[4] if effective else 0.0

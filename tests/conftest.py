@@ -2,8 +2,11 @@ import os
 import sys
 from pathlib import Path
 
-import pytest
-from pyspark.sql import SparkSession
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # before numpy: small matrices, and one thread for each is fastest
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)

@@ -1,14 +1,16 @@
 """The core against dense algebra and known numbers."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 
-from graphfield import catalog, graph
+from graphfield import catalog, graph, schur, stochastic
 from graphfield.decompose import posterior_covariance, posterior_decomposition, posterior_mode, prior_covariance, prior_decomposition
 from graphfield.fit import fit, solve
-from graphfield.precision import Theta, coordinates, core, leading_singular_value, posterior_matrix, prior_matrix, product
+from graphfield.precision import Theta, coordinates, core, distributed_singular_value, leading_singular_value, posterior_matrix, prior_matrix, product
 from graphfield.prepare import Problem, cap_degree, prepare, working
-from graphfield.schur import Factor, nll
+from graphfield.schur import Factor, distributed_nll, nll, schur_pairs
 from graphfield.spec import ExactCholesky, HutchSLQ, NormalizedPrior, SpectralPrior, UnnormalizedPrior, VarianceStablePrior, Weighting
 from graphfield.stochastic import pcg, slq_logdet, stochastic_nll
 
@@ -117,7 +119,92 @@ def test_pcg_and_slq(basic):
     assert slq_logdet(a.__matmul__, 3, 200, 10) == pytest.approx(np.linalg.slogdet(a)[1], abs=0.5)
     p = prepare(basic, prior=VarianceStablePrior(0.3))
     got = stochastic_nll("variance_stable", p.arrays, T, HutchSLQ(logdet_probes=4096, cg_tol=1e-10))
-    assert got == pytest.approx(value(p), abs=0.11)  # four standard errors of 4096 probes here
+    assert got == pytest.approx(value(p), abs=0.03)
+    p = prepare(basic, prior=VarianceStablePrior(), standardize=False)
+    for sigma_z in (0.4, 1e-6):
+        t = Theta(0.25, 0.8, sigma_z, 0.4)
+        got = stochastic_nll("variance_stable", p.arrays, t, HutchSLQ(logdet_probes=4096, lanczos_iters=20, cg_tol=1e-12, cg_maxiter=1000), None, 17)
+        assert got == pytest.approx(nll("variance_stable", p.arrays, t), abs=0.03)
+
+
+def simulated(spark, seed, firms=150, workers=150, edges=3500, reps=4, truth=(0.35, 0.8, 0.6, 0.25)):
+    """Observations of effects drawn from the normalized prior on a random graph."""
+    r = np.random.default_rng(seed)
+    pairs = np.unique(np.column_stack([r.integers(0, firms, edges), r.integers(0, workers, edges)]), axis=0)
+    rows = np.repeat(pairs, reps, 0)
+    flat = spark.createDataFrame([(int(f), int(w), float(k)) for k, (f, w) in enumerate(rows)], SCHEMA)
+    x = prepare(flat, standardize=False).arrays
+    t = Theta(*truth)
+    cov = np.linalg.inv(prior_matrix("normalized", x, t).dense())
+    effects = np.linalg.cholesky(cov) @ r.standard_normal(len(cov))
+    ids = {"f": np.unique(pairs[:, 0]), "w": np.unique(pairs[:, 1])}
+    f, w = np.searchsorted(ids["f"], rows[:, 0]), np.searchsorted(ids["w"], rows[:, 1])
+    y = effects[f] + effects[x.nf + w] + t.sigma_eps * r.standard_normal(len(rows))
+    return spark.createDataFrame([(int(a), int(b), float(v)) for (a, b), v in zip(rows, y, strict=True)], SCHEMA)
+
+
+def test_recovery_of_truth(spark):
+    truth = Theta(0.35, 0.8, 0.6, 0.25)
+    r = solve(prepare(simulated(spark, 203, 200, 200, 500), standardize=False), ExactCholesky(optim_iters=120, polish=False))
+    assert r.converged and abs(r.theta.rho - truth.rho) < 0.10
+    assert abs(np.log(r.theta.sigma_a / truth.sigma_a)) < 0.15 and abs(np.log(r.theta.sigma_z / truth.sigma_z)) < 0.15 and abs(np.log(r.theta.sigma_eps / truth.sigma_eps)) < 0.10
+
+
+def test_solvers_agree(spark, repeats):
+    p = prepare(repeats, weighting=Weighting("edge"))
+    exact = solve(p, ExactCholesky(optim_iters=80), fix_rho=0.25, seed=11)
+    hutch = solve(p, HutchSLQ(logdet_probes=300, lanczos_iters=8, cg_tol=1e-9, cg_maxiter=200, optim_iters=160), fix_rho=0.25, seed=11)
+    assert exact.theta.rho == hutch.theta.rho == 0.25 and abs(exact.nll - hutch.nll) < 0.02
+    assert abs(exact.sigmas["sigma_z"] - hutch.sigmas["sigma_z"]) < 0.02 and abs(exact.sigmas["sigma_eps"] - hutch.sigmas["sigma_eps"]) < 0.02
+    assert exact.theta.sigma_a < 1e-3 and hutch.theta.sigma_a < 1e-3
+    q = prepare(simulated(spark, 52, 60, 60, 700), standardize=False)
+    exact = solve(q, ExactCholesky(optim_iters=160), seed=52)
+    hutch = solve(q, HutchSLQ(logdet_probes=30, lanczos_iters=12, cg_tol=1e-9, cg_maxiter=300, optim_iters=80), seed=52)
+    assert exact.converged and min(exact.theta.sigma_a, hutch.theta.sigma_a) > 1e-3
+    assert abs(exact.theta.rho - hutch.theta.rho) < 0.20 and abs(exact.nll - hutch.nll) < 0.50
+    assert max(abs(a - b) for a, b in zip(exact.sigmas.values(), hutch.sigmas.values(), strict=True)) < 0.03
+
+
+def test_likelihood_from_tables(spark, basic, repeats):
+    """The Schur complement by a join and the likelihood on it, against the driver's arrays."""
+    for data, prior, weighting in ((basic, NormalizedPrior(), Weighting()), (repeats, UnnormalizedPrior(), Weighting("edge")), (repeats, NormalizedPrior("counts"), Weighting("effective", 0.5)), (repeats, SpectralPrior(), Weighting())):
+        p = prepare(data, prior=prior, weighting=weighting)
+        s1 = leading_singular_value(p.arrays, prior.seed) if prior.kind == "spectral" else None
+        assert distributed_nll(p, T, s1) == pytest.approx(nll(prior.kind, p.arrays, T, p.rho_eps, s1), abs=1e-9)
+    p = prepare(basic, prior=NormalizedPrior())
+    m = schur_pairs(p, T, True).toPandas()
+    dense = posterior_matrix("normalized", p.arrays, T).dense()
+    want = dense[:3, :3] - dense[:3, 3:] @ np.linalg.solve(dense[3:, 3:], dense[3:, :3])
+    assert m["value"].to_numpy() == pytest.approx(want[m["i"], m["j"]]) and len(m) == 6
+    assert distributed_singular_value(p) == pytest.approx(leading_singular_value(p.arrays))
+    assert distributed_nll(prepare(basic, prior=VarianceStablePrior()), Theta(0.9, 0.8, 0.5, 0.4)) == nll("variance_stable", prepare(basic, prior=VarianceStablePrior()).arrays, Theta(0.9, 0.8, 0.5, 0.4))
+
+
+def test_probes_on_executors_are_the_same(spark, repeats, monkeypatch):
+    for w in (Weighting(), Weighting("effective", 0.5)):
+        p = prepare(repeats, weighting=w)
+        here = stochastic_nll("normalized", p.arrays, T, HutchSLQ(logdet_probes=20), p.rho_eps)
+        monkeypatch.setattr(stochastic, "WORTH_DEALING", 0)
+        assert stochastic_nll("normalized", p.arrays, T, HutchSLQ(logdet_probes=20), p.rho_eps, spark=spark) == pytest.approx(here, abs=1e-12)
+        monkeypatch.undo()
+
+
+def test_too_large_for_the_dense_complement(basic, monkeypatch):
+    p = prepare(basic)
+    monkeypatch.setattr(schur, "MOST_SMALL", 2)
+    for call in (lambda: nll("normalized", p.arrays, T), lambda: distributed_nll(p, T)):
+        with pytest.raises(MemoryError):
+            call()
+
+
+def test_infeasible_starts_move_and_are_reported(spark):
+    """A dense graph: rho starts above the ceiling, and moves towards 0 until the prior is positive definite."""
+    full = spark.createDataFrame([(f, w, float((f * 7 + w * 3) % 11)) for f in range(12) for w in range(12)], SCHEMA)
+    p = prepare(full, prior=VarianceStablePrior(0.99))
+    r = solve(p, ExactCholesky(optim_iters=60, polish=False))
+    assert r.nll < 1e6 and abs(r.theta.rho) < 1 / 11
+    bad = solve(p, ExactCholesky(optim_iters=20, polish=False), fix_rho=0.9)
+    assert bad.nll == schur.PENALTY and not bad.converged
 
 
 def test_fit(repeats):
@@ -199,7 +286,7 @@ def test_whole_graph_queries(spark, tmp_path):
     """Every order counts, whatever its id: cycles, a tail longer than SQL's rounds, and a tree, against brute force."""
     pairs = [(f, w) for f in range(1, 4) for w in (1, 7, 203)] + [(3 + k, 300 + k) for k in range(5)] + [(4 + k, 300 + k) for k in range(5)] + [(50, 401), (51, 401), (50, 403)]
     spark.createDataFrame([*pairs, pairs[0]], "l_suppkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {name: catalog.QUERIES[name](spark, str(tmp_path)).collect() for name in ("components_whole", "circuit_rank_whole", "two_core_whole", "distance_to_core_whole", "nb_spectrum")}
+    got = {name: catalog.QUERIES[name](spark, str(tmp_path)).collect() for name in ("components", "circuit_rank", "two_core", "distance_to_core", "nb_spectrum")}
     edges = {(2 * f, 2 * w + 1) for f, w in pairs}
     near = {}
     for a, b in edges:
@@ -216,17 +303,17 @@ def test_whole_graph_queries(spark, tmp_path):
         return steps
 
     label = {n: min(reach([n], near)) for n in near}
-    assert {r["node"]: r["component"] for r in got["components_whole"]} == label
+    assert {r["node"]: r["component"] for r in got["components"]} == label
     rank = len(edges) - len(near) + len(set(label.values()))
-    assert got["circuit_rank_whole"][0].asDict() == {"rank": rank, "forest": False}
+    assert got["circuit_rank"][0].asDict() == {"rank": rank, "forest": False}
     core = {n: set(m) for n, m in near.items()}
     while thin := [n for n in core if len(core[n]) < 2]:
         for n in thin:
             for m in core.pop(n):
                 core.get(m, set()).discard(n)
-    assert {(r["u"], r["v"]) for r in got["two_core_whole"]} == {(n, m) for n in core for m in core[n]}
+    assert {(r["u"], r["v"]) for r in got["two_core"]} == {(n, m) for n in core for m in core[n]}
     steps = reach(list(core), near)
-    assert max(steps.values()) > 9 and {r["node"]: r["distance"] for r in got["distance_to_core_whole"]} == {n: steps.get(n, -1) for n in near}
+    assert max(steps.values()) > 9 and {r["node"]: r["distance"] for r in got["distance_to_core"]} == {n: steps.get(n, -1) for n in near}
     arcs = [(n, m) for n in near for m in near[n]]
     hashimoto = np.array([[float(a[1] == b[0] and a[0] != b[1]) for b in arcs] for a in arcs])
     assert got["nb_spectrum"][0]["radius"] == pytest.approx(np.abs(np.linalg.eigvals(hashimoto)).max(), abs=1e-6) and got["nb_spectrum"][0]["circuit_rank"] == rank
@@ -241,6 +328,34 @@ def test_feasibility(spark):
         graph.feasibility(prepare(k33))
 
 
+def test_limits_of_rho(spark):
+    nan = float("nan")
+    assert np.isnan(graph.ceiling(nan)) and np.isnan(graph.guarded_limit(nan))
+    assert (graph.ceiling(0.0), graph.guarded_limit(0.0), graph.ceiling(2.0), graph.guarded_limit(2.0)) == (1.0, 0.99, 0.5, 0.49)
+    full = spark.createDataFrame([(f, w, float(3 * f + w)) for f in range(1, 4) for w in range(1, 4)], SCHEMA)
+    auto = prepare(full, prior=VarianceStablePrior("auto"), standardize=False)
+    told = graph.feasibility(auto)
+    assert auto.prior.rho_limit == pytest.approx(0.49) and told["lambda_nb"] == pytest.approx(2.0, abs=1e-10) and told["safe"] and told["source"] == "auto"
+    for limit, safe in ((0.9, False), (0.5, False), (0.4999, True)):
+        p = prepare(full, prior=VarianceStablePrior(limit), standardize=False)
+        if limit == 0.5:
+            p = dataclasses.replace(p, spectrum=graph.Spectrum(2.0, 1, 4))
+        assert graph.feasibility(p)["safe"] is safe
+    p = dataclasses.replace(p, spectrum=graph.Spectrum(nan, 0, 4, converged=False))
+    assert not graph.feasibility(p)["safe"] and np.isnan(graph.feasibility(p)["rho_ceiling"])
+    r = solve(auto, ExactCholesky(optim_iters=2, polish=False), fix_rho=0.2)
+    assert "rho_status=fixed" in repr(r) and "sigma_a" in repr(r) and not r.rho_at_bound
+
+
+def test_arnoldi():
+    """Pairs beyond the lead one, against the dense spectrum."""
+    u, v = np.nonzero(np.kron(1 - np.eye(4), np.ones((3, 3))) + np.kron(np.eye(4), 1 - np.eye(3)) * 0)
+    a = np.zeros((12, 12))
+    a[u, v] = 1
+    got, ok = graph.arnoldi(u, v, 12, 4)
+    assert ok and np.abs(got) == pytest.approx(np.abs(graph._dense(a, 4)[0]), abs=1e-6)
+
+
 def test_forest_closed_form(spark):
     path = [(i, i, 1.0 + i % 3) for i in range(12)] + [(i + 1, i, 2.0) for i in range(11)]
     x = prepare(spark.createDataFrame(path, SCHEMA), prior=VarianceStablePrior()).arrays

@@ -3,26 +3,33 @@
 Nodes are the places of a document that may be personal data: number clusters of
 seven digits or more, words with an ``@``, and words that repeat the local part of
 an address.  A node's label is o, email, ip, card or phone.  Neighbouring nodes
-share a chain potential; nodes with the same digits, or the same word, however far
-apart, share a skip potential (each to the next alike, so edges stay linear in the
-nodes).  Loopy sum-product message passing gives label marginals.  Nodes that the
-base patterns match are observed; others become spans where a label other than o
-has a marginal above ``sure``, so an entity that is written again in another way
-takes the label it has elsewhere in the document.
-
-Weights are learned from a sample of about ``sample_docs`` documents, chosen by a
-hash of doc_id, whose base matches are the labels: unary ones by multinomial
-logistic regression, pair ones from how often linked nodes agree.
-
-Null texts count as empty.  Offsets are code points, ends exclusive.  Repeated rows
-are judged each.  Extra columns are ignored.  An empty table gives no rows.
+share a chain potential.  However far apart, nodes with the same digits, or the same
+word, share a skip potential, and nodes that are similar (the last seven digits, the
+local part of an address, the network of an ip) a weaker one, each to the next alike, so
+edges stay linear in the nodes.  Loopy sum-product message passing gives label
+marginals.  Nodes that the base patterns match are observed; others become spans where a
+label other than o has a marginal above ``sure``, so an entity that is written again in
+another way takes the label it has elsewhere in the document.  The field runs on every
+document with a node that isn't observed, with or without a base match.
+
+All weights are learned together by pseudo-likelihood (a node's label given its features
+and its neighbours' labels) from at most ``sample_docs`` documents, those with the least
+hash of doc_id, and at most ``DOC_BYTES`` characters of each; their base matches are the
+labels.  Each node counts twice, once with its features masked, so that potentials are
+learned for what no pattern tells.  Potentials have a normal prior (``PRIORS``, as strong
+as ``STRENGTH`` nodes), which is what holds where a sample has no linked nodes.
+
+Null and empty texts have no spans.  Offsets are code points, ends exclusive.  Texts are
+scanned whole, of any length; time is linear in them but for sorting nodes.  Ties between
+labels go to the first listed, o before all.  Repeated rows are judged each.  Extra
+columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import per_batch, ready
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, SURE, ROUNDS = 4000, 0.9, 12
+SAMPLE_DOCS, DOC_BYTES, SURE, ROUNDS = 4000, 32_768, 0.9, 12
+#: Kinds of edges, and the means of their potentials' priors.
+PRIORS, STRENGTH = {"chain": 0.0, "skip": 8.0, "similar": 3.0}, 20
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: All of an ip, card or phone match lies in one such region, and starts no earlier.
@@ -93,7 +102,17 @@ def nodes(text: str, found: dict[str, list[Span]]) -> list[tuple[int, int, str,
             digits = NOT_DIGIT.sub("", text[a:b])
             out.append((a, b, text[a:b].lower() if kind == "email" else text[a:b] if kind == "ip" else digits, k))
             taken.append((a, b))
-    free = lambda a, b: all(b <= x or y <= a for x, y in taken)
+    joined: list[list[int]] = []  # what base spans cover, in order
+    for a, b in sorted(taken):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+
+    def free(a: int, b: int) -> bool:
+        at = bisect_right(joined, [b - 1, len(text) + 1]) - 1
+        return at < 0 or joined[at][1] <= a
+
     for m in CLUSTER.finditer(text):
         digits = NOT_DIGIT.sub("", m[0])
         if len(digits) >= 7 and free(*m.span()):
@@ -107,36 +126,52 @@ def nodes(text: str, found: dict[str, list[Span]]) -> list[tuple[int, int, str,
     return sorted(out)
 
 
+#: The feature that stands for all others where they are masked.
+MASKED = 1
+
+
 def features(text: str, a: int, b: int) -> np.ndarray:
     s = text[a:b]
     digits = NOT_DIGIT.sub("", s)
     n = len(digits)
-    return np.array([1, "@" in s, 7 <= n <= 15, 16 <= n <= 19, n > 19, n >= 12 and luhn(digits), s[:1] == "+", s.count(".") == 3, s.count(".") > 0, " " in s or "-" in s, "(" in s, n == 0], float)
+    return np.array([1, 0, "@" in s, 7 <= n <= 15, 16 <= n <= 19, n > 19, n >= 12 and luhn(digits), s[:1] == "+", s.count(".") == 3, s.count(".") > 0, " " in s or "-" in s, "(" in s, n == 0], float)
 
 
-class Field:
-    """Unary weights (features x labels), and log-potentials of agreeing over the chain and over skips."""
+def likeness(key: str) -> str:
+    """What similar nodes share: the local part of an address, the network of an ip, the last seven digits."""
+    if "@" in key:
+        return key.partition("@")[0]
+    return key.rpartition(".")[0] if "." in key else key[-7:]
 
-    def __init__(self, unary: np.ndarray, chain: float, skip: float):
-        self.unary, self.chain, self.skip = unary, chain, skip
 
-    @staticmethod
-    def links(keys: list[str]) -> list[tuple[int, int]]:
+def linked(keys: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """Edges of a document's nodes, by kind."""
+    def alike(names: list[str]) -> list[tuple[int, int]]:
         last: dict[str, int] = {}
         out = []
-        for i, key in enumerate(keys):
-            if key in last:
-                out.append((last[key], i))
-            last[key] = i
+        for i, name in enumerate(names):
+            if name in last:
+                out.append((last[name], i))
+            last[name] = i
         return out
 
-    def marginals(self, x: np.ndarray, observed: np.ndarray, skips: list[tuple[int, int]], rounds: int = ROUNDS) -> np.ndarray:
-        n, labels = len(x), self.unary.shape[1]
+    skip = alike(keys)
+    similar = [(i, j) for i, j in alike([likeness(k) for k in keys]) if keys[i] != keys[j]]
+    return {"chain": [(i, i + 1) for i in sorted(set(range(len(keys) - 1)) - {i for i, j in skip + similar if j == i + 1})], "skip": skip, "similar": similar}
+
+
+class Field:
+    """Unary weights (features x labels), and log-potentials of agreeing over each kind of edge."""
+
+    def __init__(self, unary: np.ndarray, potentials: dict[str, float]):
+        self.unary, self.potentials = unary, potentials
+
+    def marginals(self, x: np.ndarray, observed: np.ndarray, links: dict[str, list[tuple[int, int]]], rounds: int = ROUNDS) -> np.ndarray:
+        labels = self.unary.shape[1]
         local = x @ self.unary
         local[observed >= 0] = -30.0
         local[observed >= 0, observed[observed >= 0]] = 30.0
-        skipped = set(skips)
-        edges = [(i, i + 1, self.chain) for i in range(n - 1) if (i, i + 1) not in skipped] + [(i, j, self.skip) for i, j in skips]
+        edges = [(i, j, self.potentials[kind]) for kind, pairs in links.items() for i, j in pairs]
         if edges:
             src = np.array([e[0] for e in edges] + [e[1] for e in edges])
             dst = np.array([e[1] for e in edges] + [e[0] for e in edges])
@@ -148,7 +183,7 @@ class Field:
                 np.add.at(belief, dst, told)
                 out = belief[src] - told[back]
                 out = np.exp(out - out.max(1, keepdims=True))
-                new = np.log(out.sum(1, keepdims=True) + bonus * out)
+                new = np.log(np.maximum(out.sum(1, keepdims=True) + bonus * out, 1e-300))
                 new -= new.max(1, keepdims=True)
                 if np.abs(new - told).max() < 1e-6:
                     break
@@ -161,13 +196,11 @@ class Field:
 def scan(text: str | None, field: Field, sure: float = SURE) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Base spans and all spans, by kind."""
     found = base(text) if text else {k: [] for k in KINDS}
-    if not any(found.values()):
-        return found, found  # without an observed node no skip edge can carry a label
-    seen = nodes(text, found)
-    observed = np.array([n[3] for n in seen])
+    seen = nodes(text, found) if text else []
+    observed = np.array([n[3] for n in seen], int)
     every = {k: list(v) for k, v in found.items()}
     if (observed < 0).any():
-        p = field.marginals(np.array([features(text, a, b) for a, b, _, _ in seen]), observed, field.links([n[2] for n in seen]))
+        p = field.marginals(np.array([features(text, a, b) for a, b, _, _ in seen]), observed, linked([n[2] for n in seen]))
         for i in np.flatnonzero(observed < 0):
             k = int(p[i].argmax())
             if k and p[i, k] > sure:
@@ -175,30 +208,45 @@ def scan(text: str | None, field: Field, sure: float = SURE) -> tuple[dict[str,
     return found, {k: sorted(v) for k, v in every.items()}
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = 300) -> Field:
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    near = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-    xs, ys, agree = [], [], defaultdict(lambda: [1.0, 1.0])
-    for (text,) in rows.where(near & F.col("text").rlike("@|[0-9]{3}")).select("text").collect():
-        seen = nodes(text, base(text))
-        y = [max(0, n[3]) for n in seen]
-        xs += [features(text, a, b) for a, b, _, _ in seen]
-        ys += y
-        for i in range(len(y) - 1):
-            agree["chain"][y[i] == y[i + 1]] += 1
-        for i, j in Field.links([n[2] for n in seen]):
-            agree["skip"][y[i] == y[j]] += 1
+def fit(documents: list[tuple[np.ndarray, list[int], dict[str, list[tuple[int, int]]]]], steps: int = 300) -> Field:
+    """Pseudo-likelihood of (features, labels, edges) of documents."""
     width, labels = len(features("", 0, 0)), len(KINDS) + 1
-    w = np.zeros((width, labels))
+    xs, ys, near = [], [], {k: [] for k in PRIORS}
+    for x, y, links in documents:
+        told = np.eye(labels)[y]
+        for kind, pairs in links.items():
+            n = np.zeros((len(y), labels))
+            for i, j in pairs:
+                n[i] += told[j]
+                n[j] += told[i]
+            near[kind] += [n, n]
+        hidden = np.zeros_like(x)
+        hidden[:, MASKED] = 1
+        xs += [x, hidden]
+        ys += [told, told]
+    w, theta = np.zeros((width, labels)), dict(PRIORS)
     if xs:
-        x, y = np.array(xs), np.eye(labels)[ys]
+        x, y, n = np.concatenate(xs), np.concatenate(ys), {k: np.concatenate(v) for k, v in near.items()}
         for _ in range(steps):
-            p = np.exp(x @ w)
-            w += 2.0 * (x.T @ (y - p / p.sum(1, keepdims=True)) / len(x) - 1e-4 * w)
-    odds = {k: float(np.log(v[1] / v[0])) for k, v in agree.items()}
-    # written alike, nodes are one entity: the potential is never below a factor of e^12
-    return Field(w, max(0.0, min(1.0, odds.get("chain", 0.0))), max(12.0, odds.get("skip", 0.0)))
+            z = x @ w + sum(theta[k] * n[k] for k in theta)
+            p = np.exp(z - z.max(1, keepdims=True))
+            slip = y - p / p.sum(1, keepdims=True)
+            w += 2.0 * (x.T @ slip / len(x) - 1e-4 * w)
+            for k in theta:
+                theta[k] += 2.0 * (float((slip * n[k]).sum()) - STRENGTH * 0.05 * (theta[k] - PRIORS[k])) / len(x)
+    return Field(w, theta)
+
+
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = 300) -> Field:
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1_000_000))
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("@|[0-9]{3}"))
+    near = rows.where(place <= 2_000_000 * (sample_docs + 10) // max(1, docs.count()))  # twice as many as are wanted on average, at least
+    documents = []
+    for r in near.select(place.alias("place"), F.substring("text", 1, DOC_BYTES).alias("text")).orderBy("place", "text").limit(sample_docs).collect():
+        text = r["text"]
+        if seen := nodes(text, base(text)):
+            documents.append((np.array([features(text, a, b) for a, b, _, _ in seen]), [max(0, n[3]) for n in seen], linked([n[2] for n in seen])))
+    return fit(documents, steps)
 
 
 def _listed(spans: dict[str, list[Span]]) -> str:
@@ -215,12 +263,12 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             return (
                 {"doc_id": rows["doc_id"]}
                 | {f"n_{k}": [len(b[k]) for b, _ in got] for k in KINDS}
-                | {"base_sha256": [hashlib.sha256(_listed(b).encode()).hexdigest() for b, _ in got], "spans": [_listed(e) for _, e in got], "n_added": [sum(map(len, e.values())) - sum(map(len, b.values())) for b, e in got]}
+                | {"base_sha256": [hashlib.sha256(_listed(b).encode()).hexdigest() for b, _ in got], "spans": [_listed(e) for _, e in got], "n_added": [sum(map(len, e.values())) - sum(map(len, b.values())) for b, e in got], "n_spans": [sum(map(len, e.values())) for _, e in got]}
             )
 
         return step
 
-    return per_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", make)
+    return per_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long", make)
 
 
 def masked(text: str | None, field: Field) -> str | None:

@@ -16,7 +16,8 @@ All weights are learned together by pseudo-likelihood (a node's label given its
 and its neighbours' labels) from at most ``sample_docs`` documents, those with the least
 hash of doc_id, and at most ``DOC_BYTES`` characters of each; their base matches are the
 labels.  Each node counts twice, once with its features masked, so that potentials are
-learned for what no pattern tells.  Potentials have a normal prior (``PRIORS``, as strong
+learned for what no pattern tells; nodes that equal an observed one without being matched
+count nowhere.  Potentials have a normal prior (``PRIORS``, as strong
 as ``STRENGTH`` nodes), which is what holds where a sample has no linked nodes.
 
 Null and empty texts have no spans.  Offsets are code points, ends exclusive.  Texts are
@@ -209,21 +210,22 @@ def scan(text: str | None, field: Field, sure: float = SURE) -> tuple[dict[str,
 
 
 def fit(documents: list[tuple[np.ndarray, list[int], dict[str, list[tuple[int, int]]]]], steps: int = 300) -> Field:
-    """Pseudo-likelihood of (features, labels, edges) of documents."""
+    """Pseudo-likelihood of (features, labels, edges) of documents; a label of -1 isn't known, and counts nowhere."""
     width, labels = len(features("", 0, 0)), len(KINDS) + 1
     xs, ys, near = [], [], {k: [] for k in PRIORS}
     for x, y, links in documents:
-        told = np.eye(labels)[y]
+        y = np.array(y)
+        told, known = np.eye(labels)[np.maximum(y, 0)] * (y >= 0)[:, None], y >= 0
         for kind, pairs in links.items():
             n = np.zeros((len(y), labels))
             for i, j in pairs:
                 n[i] += told[j]
                 n[j] += told[i]
-            near[kind] += [n, n]
+            near[kind] += [n[known], n[known]]
         hidden = np.zeros_like(x)
         hidden[:, MASKED] = 1
-        xs += [x, hidden]
-        ys += [told, told]
+        xs += [x[known], hidden[known]]
+        ys += [told[known], told[known]]
     w, theta = np.zeros((width, labels)), dict(PRIORS)
     if xs:
         x, y, n = np.concatenate(xs), np.concatenate(ys), {k: np.concatenate(v) for k, v in near.items()}
@@ -245,7 +247,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = 300) ->
     for r in near.select(place.alias("place"), F.substring("text", 1, DOC_BYTES).alias("text")).orderBy("place", "text").limit(sample_docs).collect():
         text = r["text"]
         if seen := nodes(text, base(text)):
-            documents.append((np.array([features(text, a, b) for a, b, _, _ in seen]), [max(0, n[3]) for n in seen], linked([n[2] for n in seen])))
+            held = {n[2] for n in seen if n[3] >= 0}  # what equals an observed node is no example of o
+            documents.append((np.array([features(text, a, b) for a, b, _, _ in seen]), [n[3] if n[3] >= 0 else -1 if n[2] in held else 0 for n in seen], linked([n[2] for n in seen])))
     return fit(documents, steps)
 
 

@@ -8,7 +8,10 @@ two thirds of the counts, prunes it on the other third, keeps it if it is precis
 enough on all, takes what it covers away and goes on.  The list is emitted as one
 ordered CASE expression.
 
-A null text has no words.  Labels that are null are ignored; a document labelled
+A null text has no words.  Texts are measured whole, of any length, in time linear in
+them but for one sort of their windows' hashes; five-word windows are equal if their
+64-bit hashes are.  Conditions of equal gain (ties) go by measure, direction and
+threshold, the greatest first.  Labels that are null are ignored; a document labelled
 twice counts as its worse label.  With no labels, or an empty table, there are no
 rules and the base alone decides.  Repeated rows are judged each.  Extra columns
 are ignored.

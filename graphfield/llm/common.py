@@ -111,16 +111,6 @@ class Kept(dict):
         return got
 
 
-class Ids(Kept):
-    """Word to a 64-bit hash."""
-
-    def __init__(self, most: int = CACHE_BYTES):
-        super().__init__(xxhash.xxh64_intdigest, most)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser; constants are those of the public splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -128,6 +118,53 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes hashed at a time, and the longest word that the table hashes; others go to xxhash one by one.
+SLICE, LONGEST = 1 << 20, 64
+#: A number for each byte at each place of a word (tabulation hashing).
+TABLE = mixed(np.arange(1, 256 * LONGEST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+INSIDE = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
+
+
+def _hashed(line: bytes) -> np.ndarray:
+    """The hash of each word of a line, words parted by one blank."""
+    b = np.frombuffer(line, np.uint8)
+    inside = INSIDE[b]
+    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+    first = np.zeros(len(b), np.int64)
+    first[starts] = starts
+    place = np.minimum(np.arange(len(b)) - np.maximum.accumulate(first), LONGEST - 1)
+    value = TABLE[place << 8 | b]
+    value[~inside] = 0
+    out = mixed(np.add.reduceat(value, starts))
+    ends = np.append(starts[1:] - 1, len(b))
+    for i in np.flatnonzero(ends - starts > LONGEST):
+        out[i] = xxhash.xxh64_intdigest(line[starts[i] : ends[i]])
+    return out
+
+
+class Ids:
+    """Words to 64-bit hashes, a whole text's at a time."""
+
+    @staticmethod
+    def of(words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros(0, np.uint64)
+        if sum(map(len, words)) <= SLICE:
+            return _hashed(b" ".join(words))
+        out, now, size = [], [], 0
+        for w in words:
+            if len(w) > SLICE:
+                out += [*([_hashed(b" ".join(now))] if now else []), np.array([xxhash.xxh64_intdigest(w)], np.uint64)]
+                now, size = [], 0
+                continue
+            now.append(w)
+            size += len(w)
+            if size > SLICE:
+                out.append(_hashed(b" ".join(now)))
+                now, size = [], 0
+        return np.concatenate([*out, *([_hashed(b" ".join(now))] if now else [])])
+
+
 def windows(h: np.ndarray, k: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A hash of each k consecutive hashes."""
     if len(h) < k:

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphfield.llm import decontaminate, html_tree, jaccard_join, language, packing, pii, quality_model, rules, substrings, warc
+from graphfield.llm import common, decontaminate, html_tree, jaccard_join, language, packing, pii, quality_model, rules, substrings, warc
 from graphfield.llm.common import Ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, start int"
@@ -132,6 +132,20 @@ def test_code_lengths(one, two, texts):
     assert got.tolist() == [[brute_costs(one, x, 3), brute_costs(two, x, 3)] for x in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"ab", b"ba", b"x" * 64, b"x" * 65, b"y" * 300, "\u00fc\u00df".encode()]), max_size=40), st.sampled_from([1 << 20, 100, 64]))
+def test_word_hashes(words, size):
+    """Equal words have equal hashes, others differ, wherever they stand and however the text is sliced."""
+    old, common.SLICE = common.SLICE, size
+    try:
+        h = Ids().of(words)
+    finally:
+        common.SLICE = old
+    alone = {w: int(Ids().of([w])[0]) for w in set(words)}
+    assert len(set(alone.values())) == len(alone)
+    assert [int(x) for x in h] == [alone[w] for w in words]
+
+
 def test_letters():
     assert [language.lettered(t.encode()) for t in ("\u00bd", "12 \u00b2", "\u2460", "\u00fc", "\u4e2d", "a", "", "_-")] == [False, False, False, True, True, True, False, False]
     assert not language.lettered(None)
@@ -147,6 +161,38 @@ def test_pii(docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_potentials_are_learned():
+    """Equal tokens that agree keep a strong skip potential; where they disagree it falls."""
+    text = "id 4111 1111 1111 1111 and 4111 1111 1111 1111"
+    seen = pii.nodes(text, pii.base(text))
+    x, links = np.array([pii.features(text, a, b) for a, b, _, _ in seen]), pii.linked([n[2] for n in seen])
+    same, apart = pii.fit([(x, [3, 3], links)] * 200), pii.fit([(x, [3, 0], links)] * 200)
+    assert same.potentials["skip"] > pii.PRIORS["skip"] - 0.5 > apart.potentials["skip"] + 1
+    assert links == {"chain": [], "skip": [(0, 1)], "similar": []}
+
+
+def test_pii_without_base_matches_and_long_texts():
+    field = pii.fit([])
+    assert pii.scan("call 030 1234567 or 030 1234567", field) == ({k: [] for k in pii.KINDS},) * 2
+    text = "a.b@c.org 4111 1111 1111 1111 or +49 30 1234567 or 12345678901 or " * 6000
+    began = time.process_time()
+    found, every = pii.scan(text, field)
+    assert [len(found[k]) for k in pii.KINDS] == [6000, 0, 6000, 6000] and time.process_time() - began < 20
+    a, b = found["card"][0]
+    assert text[a:b] == "4111 1111 1111 1111" and all(set(found[k]) <= set(every[k]) for k in pii.KINDS)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("4 -15", max_size=60))
+def test_base_cards(text):
+    def good(s):
+        d = re.sub(r"[^0-9]", "", s)
+        odd, even = [int(c) for c in d[-1::-2]], [2 * int(c) for c in d[-2::-2]]
+        return 16 <= len(d) <= 19 and (sum(odd) + sum(x - 9 if x > 9 else x for x in even)) % 10 == 0
+
+    assert pii.base(text)["card"] == [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if good(m[0])]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("a1.@+- (4)5_%", max_size=40))
 def test_base_patterns(text):
@@ -165,8 +211,13 @@ def test_rules(spark, docs, empty, texts):
         r = got[i]
         assert (r["n_words"], r["n_repeat_words"], r["word_chars"]) == (len(w), len(hit), sum(map(len, w)))
         assert r["base_failed"] == (len(w) < 10 or 100 * len(hit) > 20 * len(w)) and (not r["base_failed"] or not r["kept"])
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r["n_symbols"], r["n_dup_lines"]) == (sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)))
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, quality int")
-    rules.apply(docs, rules.cover(*rules.counted(docs, labels))).count()
+    noisy = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30)) + ("!!! ### " * 10 if i % 3 == 0 else ".")) for i in range(60)], "doc_id long, text string")
+    learned = rules.cover(*rules.counted(noisy, labels))
+    judged = by_id(rules.apply(noisy, learned))
+    assert learned and all(judged[i]["kept"] == (i % 3 > 0) for i in range(60))
     assert rules.cover(*rules.counted(docs, labels.limit(0))) == [] and rules.apply(empty, []).count() == 0
 
 
@@ -246,6 +297,33 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     assert jaccard_join.links(docs.limit(0)).count() == 0
 
 
+def test_jaccard_of_rows_with_one_doc_id(spark):
+    """Rows with one doc_id and different texts, and null ids, are compared with their own sets."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, three), (None, three), (None, three), (5, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.join(docs).collect()}
+    assert got[2, 39] == got[3, 39] == got[1, 38] == 1 and got[4, 38] == 4 and got[None, 38] is None
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in jaccard_join.one_of_each(docs).collect())
+    assert kept == sorted([("1", min((r["text"] for r in jaccard_join.one_of_each(docs.where("doc_id < 4")).collect()), key=str)), ("4", three), ("5", ""), ("None", "")])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 80), st.integers(0, 80), st.integers(0, 2**32), st.sampled_from([80, 90]))
+def test_sketches_never_lose_a_link(size, drop, more, seed, percent):
+    r = np.random.default_rng(seed)
+    a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+    b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**63, more).astype(np.uint64)]))
+    if len(b) and jaccard_join.linked(a, b, percent):
+        assert jaccard_join.may_link(len(a), jaccard_join.sketch(a), len(b), jaccard_join.sketch(b), percent)
+
+
+def test_equal_rows_spread_over_groups(spark):
+    docs = spark.createDataFrame([(1, "the same text")] * 400, "doc_id long, text string").repartition(2)
+    got = packing.pack(docs, sequence=64, group_docs=20).groupBy("sequence_id").count().collect()
+    assert len({r["sequence_id"] >> 32 for r in got}) > 10 and sum(r["count"] for r in got) == 400
+
+
 def test_packing(docs, empty, texts):
     from tokenizers import Tokenizer
 
@@ -400,3 +478,55 @@ def test_linked_sets_of_many_sizes_share_a_signature(percent):
         a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + more]]))
         if jaccard_join.linked(a, b, percent) and not np.array_equal(a, b):
             assert len(np.intersect1d(bands.signatures(a), bands.signatures(b)))
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages on a small folder against a brute-force version; nulls, repeats, copies, an extra column, empty tables."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(9)
+    words = [f"w{k}a" for k in range(300)]
+    texts = {i: " ".join(r.choice(words, 60)) for i in range(30)}
+    texts[30], texts[31], texts[32] = texts[3], texts[4] + " tail", " ".join(texts[5].split()[:50])
+    texts[33], texts[34], texts[35], texts[36] = None, "", "12 ½ --", texts[7] + " mail a.b@c.org or +49 30 1234567"
+    texts[37] = "x y z " + " ".join(texts[8].split()[5:20]) + " " + " ".join(r.choice(words, 40))
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t or ""), "q") for i, t in texts.items()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, start string"
+    spark.createDataFrame([*rows, rows[9]], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(texts[8].split()[5:20])), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = {i: t for i, t in texts.items() if t and any(c.isalpha() for c in t)}
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in left.items()}
+    label = {i: i for i in left}
+    for _ in range(3):
+        for a in left:
+            for b in left:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    item = texts[8].split()[5:20]
+    held = {tuple(item[k : k + 10]) for k in range(6)}
+    left = {i: t for i, t in left.items() if label[i] == i and not any(tuple(t.lower().split()[k : k + 10]) in held for k in range(len(t.split())))}
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    masked = {i: re.sub(r"a\.b@c\.org", "<email>", t).replace("+49 30 1234567", "<phone>") for i, t in left.items()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x["doc_id"]: x["doc_tokens"] for x in got} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in masked.items()}
+    assert 30 not in left and 31 not in left and 36 not in left and 8 not in left and 37 not in left and len(got) == len(left) > 20
+    empty = tmp_path / "empty"
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(empty / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_long_texts(spark):
+    """One text of a million bytes among short ones, through the scans."""
+    long = " ".join(f"wörd{k % 5000}" for k in range(120_000))
+    docs = spark.createDataFrame([(1, "a short text here", "en"), (2, long, "de"), (3, None, "en")], "doc_id long, text string, lang string")
+    n = len(long.split())
+    assert by_id(pii.find(docs, pii.fit([])))[2]["n_spans"] == 0
+    assert by_id(decontaminate.find(docs, spark.createDataFrame([(1, "short text"), (2, "wörd1 wörd2 wörd3")], "item_id long, text string")))[2]["n_hit"] == 72
+    assert by_id(language.predict(docs, language.learn(docs)))[2]["lang_pred"] == "de"
+    assert by_id(quality_model.score(docs))[2]["n_words"] == n
+    assert by_id(substrings.dedupe(docs))[2]["n_words"] == n
+    assert by_id(jaccard_join.join(docs))[2]["n_shingles"] == 5000
+    pieces = packing.pack(docs).where("doc_id = 2").collect()
+    assert sum(p["length"] for p in pieces) == pieces[0]["doc_tokens"] > n

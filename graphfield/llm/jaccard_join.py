@@ -19,7 +19,7 @@ The node that most buckets share is a bucket's pivot, and each other node is che
 against it.  In buckets of at most ``FEW`` nodes, pairs of different components by then are
 checked too.  Each node has a sketch, the
 number of its elements in each of about half as many cells; the cells' differences
-bound the sets' difference from below, so most pairs fall without their texts.  In a
+bound the sets' difference from below, so most pairs fall where the bucket is.  In a
 larger bucket, two nodes x and y of which
 not both link with pivot c can only link if x and y differ from c in common elements:
 of the differences x ^ c and y ^ c, at least (|x ^ c| + |y ^ c| - q (|x| + |y|)) / 2,
@@ -48,6 +48,7 @@ a row each.  Extra columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -55,10 +56,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, discard, mixed, per_batch, ready, stored, text_bytes, windows
+from .common import Ids, _arrow, discard, mixed, per_batch, ready, stored, text_bytes, windows
 
 SHINGLE, PERCENT = 3, 90
-CUTS, SPARE, WIDE, FEW = 4, 12, 1.37, 12
+CUTS, SPARE, WIDE, FEW = 4, 12, 1.37, 64
 #: Shingles of a block, the fewest that a set counts for (which bounds a block's sets), and columns of a product.
 BLOCK, LEAST, COLUMNS = 200_000, 200, 4096
 
@@ -196,7 +197,55 @@ def with_both(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", *(f"{c}_{x}" for c in columns for x in "ab"))
 
 
-def checked(pairs: DataFrame, nodes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches with as many cells as the smallest has, one in a row."""
+    least = min(map(len, sketches))
+    return np.array([np.frombuffer(s, np.uint8).reshape(least, -1).sum(1, dtype=np.int32) for s in sketches])
+
+
+def sifted(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of small buckets that their sketches don't rule out, of different components and of kinds that may link.
+
+    Rows (signature, node, of, all, component, n_shingles, sketch) come sorted by signature;
+    a bucket is compared where it is, so pairs that are ruled out never become rows.
+    """
+    arrow = _arrow(rows.sparkSession, "a long, b long")
+    names = ("signature", "node", "of", "all", "component", "n_shingles")
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        sig, node, of, every, component, n = (t.column(c).to_numpy() for c in names)
+        sketches = t.column("sketch").to_pylist()
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        out: set[tuple[int, int]] = set()
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)], strict=True):
+            own = sketches[lo:hi]
+            cells = folded(own) if all(own) else None
+            for i in range(hi - lo - 1):
+                at, rest = lo + i, slice(lo + i + 1, hi)
+                good = (component[rest] != component[at]) & (every[at] | (of[rest] != of[at]))
+                if cells is not None and good.any():
+                    good &= np.abs(cells[i + 1 :] - cells[i]).sum(1) * (100 + percent) <= (n[rest] + n[at]) * (100 - percent)
+                out.update((min(int(node[at]), x), max(int(node[at]), x)) for x in node[rest][good].tolist())
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last bucket so far may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = batch.column("signature").to_numpy()
+            last = int(np.searchsorted(sig, sig[-1]))
+            if last or (held and held[-1].column("signature")[-1].as_py() != sig[0]):
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return rows.repartition("signature").sortWithinPartitions("signature").select(*names, "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
+def checked(pairs: DataFrame, nodes: DataFrame, k: int = SHINGLE, percent: int = PERCENT, sketched_already: bool = False) -> DataFrame:
     """The pairs (a, b) that link: by their sketches first, then judged on their whole texts."""
 
     def sketched():
@@ -216,7 +265,7 @@ def checked(pairs: DataFrame, nodes: DataFrame, k: int = SHINGLE, percent: int =
 
         return step
 
-    some = per_batch(with_both(pairs, nodes, "n_shingles", "sketch"), "a long, b long", sketched)
+    some = pairs if sketched_already else per_batch(with_both(pairs, nodes, "n_shingles", "sketch"), "a long, b long", sketched)
     return per_batch(with_both(some, nodes, "text"), "a long, b long", whole)
 
 
@@ -322,9 +371,10 @@ def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Joined:
         if labels is not None:
             discard(labels)
         labels = components(reduce(DataFrame.union, found))
-        a, b = (grouped(now.where((F.col("n") <= few) & (F.col("node") != F.col("pivot"))), labels).select("signature", F.col("node").alias(x), F.col("of").alias("of" + x), F.col("all").alias("all" + x), F.col("component").alias("c" + x)) for x in "ab")
-        pairs = a.join(b.hint("merge"), "signature").where("a < b and ca <> cb and (alla or ofa <> ofb)").select("a", "b").distinct()
-        found.append(stored(checked(pairs, nodes, k, percent)))
+        rest = grouped(now.where((F.col("n") <= few) & (F.col("node") != F.col("pivot"))), labels)
+        apart = rest.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
+        rest = rest.join(apart.hint("merge"), "signature").join(nodes.select(F.col("node"), "n_shingles", "sketch").hint("merge"), "node")
+        found.append(stored(checked(sifted(rest, percent), nodes, k, percent, True)))
         discard(now)
         spent, few = [seen], 4 * few
         if not more:

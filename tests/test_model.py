@@ -157,9 +157,9 @@ def test_solvers_agree(spark, repeats):
     assert exact.theta.rho == hutch.theta.rho == 0.25 and abs(exact.nll - hutch.nll) < 0.02
     assert abs(exact.sigmas["sigma_z"] - hutch.sigmas["sigma_z"]) < 0.02 and abs(exact.sigmas["sigma_eps"] - hutch.sigmas["sigma_eps"]) < 0.02
     assert exact.theta.sigma_a < 1e-3 and hutch.theta.sigma_a < 1e-3
-    q = prepare(simulated(spark, 52, 60, 60, 700), standardize=False)
+    q = prepare(simulated(spark, 52, 200, 200, 500), standardize=False)
     exact = solve(q, ExactCholesky(optim_iters=160), seed=52)
-    hutch = solve(q, HutchSLQ(logdet_probes=30, lanczos_iters=12, cg_tol=1e-9, cg_maxiter=300, optim_iters=80), seed=52)
+    hutch = solve(q, HutchSLQ(logdet_probes=150, lanczos_iters=16, cg_tol=1e-9, cg_maxiter=300, optim_iters=160), seed=52)
     assert exact.converged and min(exact.theta.sigma_a, hutch.theta.sigma_a) > 1e-3
     assert abs(exact.theta.rho - hutch.theta.rho) < 0.20 and abs(exact.nll - hutch.nll) < 0.50
     assert max(abs(a - b) for a, b in zip(exact.sigmas.values(), hutch.sigmas.values(), strict=True)) < 0.03

@@ -251,8 +251,10 @@ def test_linked_sets_share_a_signature(size, drop, more, seed, percent):
         assert len(np.intersect1d(s.signatures(a), s.signatures(b)))
 
 
-def test_jaccard_of_a_large_family(spark):
-    """Copies of one text with differing numbers of changed words: hot buckets, links and non-links."""
+@pytest.mark.parametrize("few", [64, 4])
+def test_jaccard_of_a_large_family(spark, monkeypatch, few):
+    """Copies of one text with differing numbers of changed words: hot buckets, links and non-links; with small buckets of four, several rounds of pivots."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
     r = np.random.default_rng(5)
     base, rows = [f"b{k}" for k in range(120)], []
     for i in range(70):

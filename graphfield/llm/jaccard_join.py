@@ -15,16 +15,21 @@ of which neither is safe in a cut has the next one in common (the last keeps all
 
 Signatures of two nodes or more are buckets: the signatures are summed up to the least
 and the greatest node before a shuffle, and joined back, so hot ones can be split.
+A set that links with a node shares a known number of signatures with it; a node with
+fewer in buckets of more than ``FEW`` nodes meets all its links in small ones, and is
+left out of the large ones, which so lose strangers with a passage in common.
 The node that most buckets share is a bucket's pivot, and each other node is checked
-against it.  In buckets of at most ``FEW`` nodes, pairs of different components by then are
-checked too.  Each node has a sketch, the
+against it.  Larger buckets that reach each other by common nodes have one pivot for all.  In
+buckets of at most ``FEW`` nodes, pairs of different components by then are checked too.  Each node has a sketch, the
 number of its elements in each of about half as many cells; the cells' differences
 bound the sets' difference from below, so most pairs fall where the bucket is.  In a
-larger bucket, two nodes x and y of which
-not both link with pivot c can only link if x and y differ from c in common elements:
+larger bucket, pairs of two nodes x and y of which not both link with pivot c are left.
+If y alone links with c, x and y differ from c in common elements:
 of the differences x ^ c and y ^ c, at least (|x ^ c| + |y ^ c| - q (|x| + |y|)) / 2,
 with q = (100 - percent) / (100 + percent).  So, as in a prefix filter, some element
-is among the first few of both differences, those that c lacks coming first; such
+is among the first few of both differences, those that c lacks coming first.  As Jaccard
+distances add up, x is at most two links' distance from c.  If neither
+links with c, some element is among the first few of both sets, in the same order.  Such
 elements are the next buckets, without the pivot.  Each round drops buckets whose nodes
 are in one component by now, and takes buckets of up to four times as many nodes pair by
 pair as the last one, so rounds grow with the logarithm of the largest bucket.  No link
@@ -42,7 +47,7 @@ row with its own set; their components are one.  A null doc_id
 is compared like others, but names neither class nor component; it has null for all
 but n_shingles.  A text may be of any length: it is held once in a task, its set
 besides.  Ties (of pivots) go to the greater digest; equality of shingles, sets and
-signatures is that of their 64-bit hashes (128 bits for classes).  Repeated rows give
+signatures is that of their 64-bit hashes (62 bits for signatures, 128 for classes).  Repeated rows give
 a row each.  Extra columns are ignored.  An empty table gives no rows.
 """
 
@@ -97,9 +102,26 @@ class Bands:
         bounds = [(b, (self.edges[b + 1] - 1) * (100 - self.percent) // self.percent, (size + other) * (100 - self.percent) // (100 + self.percent)) for b, other in out]
         return [(b, k, min(k, d)) for b, k, d in bounds]
 
+    @staticmethod
+    def kept(n1: int, n2: int, d: int) -> int:
+        """How many signatures of a cut two sets share at least (empty ones too), if they differ in d elements.
+
+        The first difference in a part spoils the n2 - 1 signatures that hold its smaller
+        part, a second one in the part those that are left, one.
+        """
+        return n1 * n2 - (n2 - 1) * min(d, n1) - max(0, min(d - n1, n1))
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
+        return self.signed(s)[0]
+
+    def signed(self, s: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The signatures, and how many of the first cut's a set that links shares with this one at least: for an even band, and for an odd one.
+
+        The lowest bit of a signature is its band's, the next one is clear for the first cut.
+        """
+        sure = [0, 0]
         if not len(s):
-            return s
+            return s, sure
         out = []
         for band, k, d in self.groups(len(s)):
             if not k:  # only equal sets link
@@ -116,14 +138,17 @@ class Bands:
                 size = (count.sum(1, keepdims=True) - count).ravel()
                 place = np.arange(n1 * n2, dtype=np.uint64) + np.uint64((band * CUTS + cut) << 40)
                 value = mixed(value ^ mixed(place * np.uint64(2) + np.uint64(1)) ^ size.astype(np.uint64))
+                value = value & ~np.uint64(3) | np.uint64(2 * (cut > 0) + band % 2)
                 empty = size == 0
+                if not cut:
+                    sure[band % 2] = max(0, self.kept(n1, n2, d) - int(np.count_nonzero(empty)))
                 if cut == CUTS - 1:
                     out.append(value)
                     break
                 out.append(value[~empty])
                 if np.count_nonzero(empty.reshape(n1, n2).any(1)) < n1 - d // 2:
                     break
-        return np.concatenate(out) if out else s[:0]
+        return (np.concatenate(out) if out else s[:0]), sure
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -149,22 +174,23 @@ def may_link(na: int, a: bytes, nb: int, b: bytes, percent: int = PERCENT) -> bo
     return apart * (100 + percent) <= (na + nb) * (100 - percent)
 
 
-SETS = "doc_id long, mark long, n_shingles long, k1 long, k2 long, sketch binary, signatures array<long>"
+SETS = "doc_id long, mark long, n_shingles long, k1 long, k2 long, sketch binary, signatures array<long>, sure array<int>"
 
 
 def described(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, a hash of the text (with the doc_id, it names the row), set size, a 128-bit digest of the set, its sketch and its signatures."""
+    """doc_id, a hash of the text (with the doc_id, it names the row), set size, a 128-bit digest of the set, its sketch, its signatures and how many of them links share at least."""
 
     def make():
         ids, bands = Ids(), Bands(percent)
 
         def step(rows):
-            out = {x: [] for x in ("doc_id", "mark", "n_shingles", "k1", "k2", "sketch", "signatures")}
+            out = {x: [] for x in ("doc_id", "mark", "n_shingles", "k1", "k2", "sketch", "signatures", "sure")}
             for doc, mark, text in zip(rows["doc_id"], rows["mark"], rows["text"], strict=True):
                 s = shingles(text, ids, k)
                 k1 = int(mixed(s).sum(dtype=np.uint64).view(np.int64))
                 k2 = int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x9E3779B97F4A7C15)), initial=np.uint64(0)).view(np.int64))
-                for x, v in zip(out, (doc, mark, len(s), k1, k2, sketch(s), bands.signatures(s).view(np.int64)), strict=True):
+                signatures, sure = bands.signed(s)
+                for x, v in zip(out, (doc, mark, len(s), k1, k2, sketch(s), signatures.view(np.int64), sure), strict=True):
                     out[x].append(v)
             return out
 
@@ -281,13 +307,19 @@ def against_pivots(pairs: DataFrame, nodes: DataFrame, k: int = SHINGLE, percent
                 x, c = sets.of(a, s), sets.of(b, t)
                 own, lost = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
                 apart, n = np.concatenate([np.sort(mixed(own)), np.sort(mixed(lost))]), len(own) + len(lost)
-                link = linked(x, c, percent)
+                both = len(x) - len(own)
+                link = 100 * both >= percent * (len(x) + len(lost))
+                # distances add up: who is further off than two links' distance has no partner that links with the pivot
+                close = 100 * both >= (2 * percent - 100) * (len(x) + len(lost))
                 # more than half of this many in common, if the partner doesn't link with the pivot
                 half = max(1, (n * (100 + percent) + (100 - percent) * (len(c) - len(x))) // (2 * (100 + percent)) + 1)
                 least = max(1, -((len(x) * (100 - percent) - n * percent) // percent))
-                name = lambda kind, size, b=b, apart=apart: mixed(apart[: max(0, size)] ^ mixed(np.array([b], np.int64).view(np.uint64) * np.uint64(2) + np.uint64(kind))).view(np.int64)
-                near = name(0, n - half + 1 if link else n - least + 1)
-                far = name(1, 0 if link else n - half + 1)
+                # two that don't link with the pivot share an element of their first few, those that the pivot lacks coming first
+                few = len(x) - -(-len(x) * percent // 100) + 1
+                ordered = np.concatenate([apart[: len(own)], np.sort(mixed(np.intersect1d(x, c, assume_unique=True)))]) if not link else own
+                name = lambda kind, size, of, b=b: mixed(of[: max(0, size)] ^ mixed(np.array([b], np.int64).view(np.uint64) * np.uint64(2) + np.uint64(kind))).view(np.int64)
+                near = name(0, n - half + 1 if link else n - least + 1 if close else 0, apart)
+                far = name(1, 0 if link else few, ordered)
                 for key, v in zip(out, (a, b, link, near, far), strict=True):
                     out[key].append(v)
             return out
@@ -324,6 +356,31 @@ def grouped(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(of.hint("merge"), F.col("node") == F.col("of_node"), "left").drop("of_node").withColumn("component", F.coalesce("component", "node"))
 
 
+def spared(buckets: DataFrame, sets: DataFrame, few: int = FEW) -> DataFrame:
+    """The buckets (signature, node) of two nodes or more, large ones without the nodes that share a small one with whatever links with them.
+
+    A set that links shares so many signatures of the first cut with a node's (``sure``); if
+    fewer of the node's lie in large buckets, they share one of a bucket whose pairs are all checked.
+    """
+    size = buckets.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
+    counted = stored(buckets.join(size.hint("merge"), "signature"))
+    odd, first = F.col("signature").bitwiseAND(F.lit(1)).cast("int").alias("odd"), (F.col("signature").bitwiseAND(F.lit(2)) == 0).cast("int")
+    large = counted.where(F.col("n") > few).select("signature", "node", odd, first.alias("first"))
+    sure = sets.select(F.col("k1").alias("node"), "sure").dropDuplicates(["node"])
+    free = large.groupBy("node", "odd").agg(F.sum("first").alias("large")).join(sure.hint("merge"), "node").where(F.col("large") < F.get("sure", F.col("odd"))).select("node", "odd")
+    left = large.join(free.hint("merge"), ["node", "odd"], "left_anti").select("signature", "node")
+    out = stored(counted.where(F.col("n") <= few).select("signature", "node").union(left))
+    discard(counted)
+    return out
+
+
+def centred(stars: DataFrame, group: DataFrame) -> DataFrame:
+    """(a, b): each node of buckets that reach each other by common nodes, and the pivot of most of theirs; stars are (node, pivot of a bucket), group their components."""
+    often = stars.groupBy("b").agg(F.count("*").alias("often")).join(group.hint("merge"), F.col("b") == F.col("node"))
+    centre = often.groupBy("component").agg(F.max_by("b", F.struct("often", "b")).alias("b"))
+    return group.join(centre.hint("merge"), "component").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 class Joined:
     """The stored tables of a join, all keyed by node (k1): rows, nodes in buckets with their texts, and labels."""
 
@@ -339,9 +396,10 @@ def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Joined:
     sets = stored(described(docs, k, percent))
     each = sets.where("size(signatures) > 0").select(F.explode("signatures").alias("signature"), F.col("k1").alias("node"))
     shared = stored(each.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("signature"))
-    # of: 0 for members that link with the last pivot, 1 for others; a bucket with both has no pairs but of the two kinds
-    buckets = stored(each.join(shared.hint("merge"), "signature").distinct())
+    every = stored(each.join(shared.hint("merge"), "signature").distinct())
     discard(shared)
+    buckets = spared(every, sets, FEW)
+    discard(every)
     lean = sets.where("n_shingles > 0").groupBy(F.col("k1").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     reps = buckets.select("node").distinct().join(lean.hint("merge"), "node").select("node", "row.doc_id", "row.mark", "n_shingles", "sketch")
     t = named(docs).withColumnRenamed("doc_id", "own").withColumnRenamed("mark", "hash")
@@ -349,6 +407,7 @@ def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Joined:
     nodes = stored(nodes.select("node", "n_shingles", "sketch", "text"))
     rows = stored(sets.select("doc_id", "mark", "n_shingles", "k1", "k2"))
     discard(sets)
+    # of: 0 for members that link with the last pivot, 1 for others; a bucket with both has no pairs but of the two kinds
     members = buckets.select("signature", "node", F.lit(1).alias("of"), F.lit(True).alias("all"))
     found, spent, labels, few = [], [buckets], None, FEW
     while True:
@@ -364,9 +423,12 @@ def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Joined:
         now = stored(now.join(pivots.hint("merge"), "signature"))
         discard(*spent)
         stars = stored(now.where("node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max(F.col("n") > few).alias("large")))
-        seen = stored(against_pivots(stars.where("large").select("a", "b"), nodes, k, percent))
+        large = stars.where("large").select("a", "b")
+        group = components(large)
+        seen = stored(against_pivots(centred(large, group), nodes, k, percent))
+        discard(group)
         found += [stored(checked(stars.where("not large").select("a", "b"), nodes, k, percent)), stored(seen.where("linked").select("a", "b"))]
-        more = not stars.where("large").isEmpty()
+        more = not large.isEmpty()
         discard(stars)
         if labels is not None:
             discard(labels)
@@ -380,7 +442,10 @@ def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Joined:
         if not more:
             discard(seen, labels)
             break
-        near = seen.select(F.explode("near").alias("signature"), F.col("a").alias("node"), (~F.col("linked")).cast("int").alias("of"), F.lit(False).alias("all"))
+        # a pivot's linked members look for partners only if others are close enough to have one
+        wanted = seen.where("not linked and size(near) > 0").select(F.col("b").alias("pivot")).distinct()
+        near = seen.join(wanted.hint("merge"), seen.b == wanted.pivot, "left_semi")
+        near = near.select(F.explode("near").alias("signature"), F.col("a").alias("node"), (~F.col("linked")).cast("int").alias("of"), F.lit(False).alias("all"))
         far = seen.where("not linked").select(F.explode("far").alias("signature"), F.col("a").alias("node"), F.lit(1).alias("of"), F.lit(True).alias("all"))
         members = near.unionByName(far).distinct()
     doubled = rows.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least < most").select("doc_id", "least")

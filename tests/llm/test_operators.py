@@ -532,3 +532,60 @@ def test_long_texts(spark):
     assert by_id(jaccard_join.join(docs))[2]["n_shingles"] == 5000
     pieces = packing.pack(docs).where("doc_id = 2").collect()
     assert sum(p["length"] for p in pieces) == pieces[0]["doc_tokens"] > n
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_as_many_signatures_as_said(percent):
+    rng, bands = np.random.default_rng(4), jaccard_join.Bands(percent)
+    tight = 0
+    for _ in range(1500):
+        n = int(np.exp(rng.uniform(np.log(8), np.log(700))))
+        pool = np.unique(rng.integers(1, 2**62, 3 * n).astype(np.uint64))
+        pool = pool[rng.permutation(len(pool))]
+        both = n - int(rng.integers(0, n * (100 - percent) // 100 + 1))
+        more = int(rng.integers(0, max(1, both * 100 // percent - n + 1)))
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + more]]))
+        if jaccard_join.linked(a, b, percent) and not np.array_equal(a, b):
+            odd = min(bands.band(len(a)), bands.band(len(b))) % 2
+            (x, sure), (y, other) = bands.signed(a), bands.signed(b)
+            same = np.intersect1d(x, y)
+            least = max(sure[odd], other[odd])
+            assert np.count_nonzero((same & np.uint64(3)) == odd) >= least
+            tight += least > 1
+    assert tight > 100
+
+
+def test_large_buckets_hold_no_strangers(spark, monkeypatch):
+    """Strangers with a passage in common, beside a family, stay out of the large buckets; each node of those has one pivot a round and a few rows."""
+    monkeypatch.setattr(jaccard_join, "FEW", 6)
+    r = np.random.default_rng(8)
+    base, passage, rows = [f"b{k}" for k in range(150)], [f"p{k}" for k in range(40)], []
+    for i in range(60):
+        rows.append((i, " ".join([*passage, *(f"s{i}x{k}" for k in range(130))])))
+    for i in range(100, 160):
+        w = list(base)
+        for k in r.choice(150, r.integers(0, 7), replace=False):
+            w[k] = f"c{i}x{k}"
+        rows.append((i, " ".join(w)))
+    ids = Ids()
+    sets = {i: jaccard_join.shingles(t.encode(), ids, 5) for i, t in rows}
+    label = {i: i for i in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if jaccard_join.linked(sets[a], sets[b], 80):
+                    label[a] = label[b] = min(label[a], label[b])
+    rounds, compare = [], jaccard_join.against_pivots
+
+    def seen(pairs, nodes, *rest):
+        out = compare(pairs, nodes, *rest)
+        rounds.append(out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "against_pivots", seen)
+    got = by_id(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80))
+    assert {i: got[i]["component_id"] for i in label} == label and len(set(label.values())) > 60
+    strangers = {int(jaccard_join.mixed(s).sum(dtype=np.uint64).view(np.int64)) for i, s in sets.items() if i < 60}
+    assert rounds[0] and all(x["linked"] or len(x["far"]) <= 31 for rows in rounds for x in rows)
+    for rows in rounds:
+        assert len({x["a"] for x in rows}) == len(rows) and not strangers & {x["a"] for x in rows}

@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import Kept, per_batch, ready, text_bytes
 
 SEQUENCE, END_ID, GROUP_DOCS = 2048, 1, 1024
-#: Chunks that need no Unicode normalisation and lower-case by character: Latin-1 letters, then at most one mark.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?])?")
+#: Chunks that need no Unicode normalisation and lower-case by character: Latin-1 letters, then at most one run of ASCII marks other than apostrophes, a token's word of its own.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)?")
+#: Bytes that a worker's chunks may hold, and its words as well.
+KEPT_BYTES = 96 << 20
 
 
 def default_tokenizer() -> str:
@@ -51,8 +53,8 @@ class Chunks(Kept):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(self.ids_of)
-        self.tokenizer, self.words = Tokenizer.from_file(path), Kept(self.word)
+        super().__init__(self.ids_of, KEPT_BYTES)
+        self.tokenizer, self.words = Tokenizer.from_file(path), Kept(self.word, KEPT_BYTES)
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def word(self, w: str) -> bytes:
@@ -62,6 +64,8 @@ class Chunks(Kept):
 
     def ids_of(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
+        if chunk.isalpha():
+            return self.words[text.lower()]
         if m := PLAIN.fullmatch(text):
             return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
         got = self.tokenizer.encode(text, add_special_tokens=False).ids

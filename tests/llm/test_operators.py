@@ -589,3 +589,22 @@ def test_large_buckets_hold_no_strangers(spark, monkeypatch):
     assert rounds[0] and all(x["linked"] or len(x["far"]) <= 31 for rows in rounds for x in rows)
     for rows in rounds:
         assert len({x["a"] for x in rows}) == len(rows) and not strangers & {x["a"] for x in rows}
+
+
+def test_kept_words_outlive_a_full_cache():
+    """A word asked for again and again is found once, though the cache fills up several times."""
+    found = Counter()
+    kept = common.Kept(lambda w: found.update([w]) or w, 20 * (common.ENTRY_BYTES + 8))
+    for i in range(100):
+        assert kept[b"often"] == b"often" and kept[b"%d" % i] == b"%d" % i
+    assert found[b"often"] == 1 and len(kept) + len(kept.old) <= 20
+
+
+def test_marks_after_letters_are_tokenised_apart():
+    chunks = packing.Chunks(packing.default_tokenizer())
+    called, whole = [], chunks.tokenizer
+    words = ["A$$$", "eathha.%%%", "This!!", "Über***", "x</p>", "it's", "o'", "a***b", "q'$", "A'S", "2x.", "ÿ~`^", "e\u0301...", "İ!"]
+    want = [whole.encode(w, add_special_tokens=False).ids for w in words]
+    chunks.tokenizer = type("Counted", (), {"encode": lambda self, t, **k: called.append(t) or whole.encode(t, **k)})()
+    assert [np.frombuffer(chunks[w.encode()], "<u4").tolist() for w in words] == want
+    assert not {"A$$$", "eathha.%%%", "This!!", "Über***"} & set(called)

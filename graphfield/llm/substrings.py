@@ -79,7 +79,8 @@ def outlined(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR) -> DataFram
             out = {x: [] for x in ("doc_id", "mark", "n_words", "digest", "key", "anchors")}
             for doc, mark, text in zip(rows["doc_id"], rows["mark"], rows["text"], strict=True):
                 words = (text or b"").split()
-                found = np.unique(anchors(ids.of(words), k, anchor)) if len(words) >= k else np.zeros(0, np.uint64)
+                found = anchors(ids.of(words), k, anchor) if len(words) >= k else np.zeros(0, np.uint64)
+                found = np.unique(found[np.flatnonzero(np.diff(found, prepend=~found[:1]))])  # neighbours are mostly equal
                 digest = hashlib.sha256(b" ".join(words)).digest()
                 for x, v in zip(out, (doc, mark, len(words), digest, int.from_bytes(digest[:8], "little", signed=True), found.view(np.int64)), strict=True):
                     out[x].append(v)

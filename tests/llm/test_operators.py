@@ -608,3 +608,32 @@ def test_marks_after_letters_are_tokenised_apart():
     chunks.tokenizer = type("Counted", (), {"encode": lambda self, t, **k: called.append(t) or whole.encode(t, **k)})()
     assert [np.frombuffer(chunks[w.encode()], "<u4").tolist() for w in words] == want
     assert not {"A$$$", "eathha.%%%", "This!!", "Über***"} & set(called)
+
+
+def test_hashes_of_words_and_windows_are_as_defined():
+    """Tabulation hashes up to the longest word, xxhash above, a slice at a time; window hashes word by word.  A guard of the values: they hold for any way to compute them."""
+    import xxhash
+
+    whole, r = (1 << 64) - 1, np.random.default_rng(1)
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & whole
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & whole
+        return h ^ h >> 31
+
+    def of(w):
+        return xxhash.xxh64_intdigest(w) if len(w) > common.LONGEST else mix(sum(int(common.TABLE[i << 8 | c]) for i, c in enumerate(w)) & whole)
+
+    words = [bytes(r.integers(33, 256, n).astype(np.uint8)) for n in [1, 2, 63, 64, 65, 66, 200, *r.integers(1, 12, 60)]]
+    got = Ids.of(words)
+    assert got.tolist() == [of(w) for w in words] and not len(Ids.of([]))
+    assert Ids.of([words[0], b"x" * (2 * common.SLICE), words[1]]).tolist() == [of(words[0]), of(b"x" * (2 * common.SLICE)), of(words[1])]
+    for k in (1, 5, 13):
+        want = []
+        for i in range(len(words) - k + 1):
+            h = 77
+            for x in got[i : i + k].tolist():
+                h = (h ^ x) * 0xD6E8FEB86659FD93 & whole
+                h ^= h >> 32
+            want.append(mix(h))
+        assert common.windows(got, k, 77).tolist() == want
